@@ -25,7 +25,12 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera.llm.common import SEPARATORS, empty_text, fresh_path, staged
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # entries are small and stores are many: write changes only, and don't reserve disk ahead
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of the digest log taken into one micro-batch.
 BYTES_PER_TRIGGER = str(1 << 30)
 
@@ -67,9 +72,9 @@ def stream_state(log: DataFrame, checkpoint: str, out: str) -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             log.groupBy("key")
@@ -82,7 +87,11 @@ def stream_state(log: DataFrame, checkpoint: str, out: str) -> None:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def retained(log: DataFrame) -> tuple[DataFrame, DataFrame]:
