@@ -34,11 +34,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import words
+from tessera.llm import words, zipped
 from tessera.llm.common import bound_batches, staged
 
 BANDS, ROWS, BITS, SLACK = 40, 5, 2, 5.0
@@ -145,16 +144,8 @@ def least_estimate(percent: int = PERCENT) -> float:
     return j - SLACK * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
-def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(x.as_py() or b"") for x in texts], pa.binary())], ["doc_id", "packed_text"])
-
-
 def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to the pairs (a, b) that are linked."""
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         a, b = batch.column("a"), batch.column("b")
         linked = np.zeros(len(a), dtype=bool)
@@ -164,7 +155,7 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             if packed not in cache:
                 if len(cache) > 64:
                     cache.clear()
-                data = np.frombuffer(unpack.decompress(packed), dtype=np.uint8)
+                data = np.frombuffer(zipped.unzip(packed), dtype=np.uint8)
                 cache[packed] = shingle_sets(words.of_bytes(data, np.array([0, len(data)])))[0]
             return cache[packed]
 
@@ -177,9 +168,9 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; texts: doc_id, packed_text."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed_text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("packed_text").alias("text_b")), "b")
+    """Those of the pairs (a, b) whose full sets are similar enough; texts: doc_id, zipped."""
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("zipped").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("zipped").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
 
 
@@ -220,7 +211,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    spark = docs.sparkSession
     sketched = staged(sketches(docs), "sketches")
     classes = sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = staged(classes, "classes")
@@ -233,10 +223,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stars = members.filter("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = staged(likely(stars, signatures, percent), "stars")
-    bound_batches(spark)
     candidates = members.select("doc_id").distinct()
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "doc_id long, packed_text binary")
-    texts = staged(packed.join(candidates, "doc_id", "left_semi"), "texts")
+    texts = staged(zipped.compressed(docs).join(candidates, "doc_id", "left_semi"), "texts")
     links = staged(confirm(stars, texts, percent), "confirmed")
     found = components(links)
 

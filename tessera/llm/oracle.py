@@ -14,6 +14,37 @@ FROM t
 WINDOW w AS (PARTITION BY z ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+OP3 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+first_ AS (SELECT payload, min(page_id) AS first FROM p WHERE octet_length(payload) >= 100 GROUP BY payload)
+SELECT page_id, octet_length(p.payload)::BIGINT AS payload_bytes, sha256(p.payload) AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN first_ ON p.payload = first_.payload
+"""
+
+OP5 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM w WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS window_ FROM starts
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY window_) AS first FROM windows) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM later
+), lists AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+         CASE WHEN gone IS NULL THEN words
+              ELSE [words[i] for i in range(1, len(words) + 1) if NOT list_contains(gone, i)] END AS words
+  FROM w LEFT JOIN lists ON w.doc_id = lists.doc_id
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+"""
+
 OP8 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -67,4 +98,4 @@ FROM talks
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op8_mix_sources": OP8, "op9_chat_format": OP9}
+    return {"op1_exact_dedup": OP1, "op3_warc": OP3, "op5_substring_dedup": OP5, "op8_mix_sources": OP8, "op9_chat_format": OP9}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, lang_id, mixing, near_dedup, quality
+from tessera.llm import bpe, chat, exact_dedup, lang_id, lines, mixing, near_dedup, quality, substrings, warc
+from tessera.llm.common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archives(spark, path))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.fit(docs.filter(~lang_id.held_out()))
@@ -29,6 +36,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", lang_id.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -61,5 +73,22 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_language_id, op6_bpe, op7_quality_rules, op8_mix_sources, op9_chat_format)}
+    own = (
+        op1_exact_dedup,
+        op2_near_dedup,
+        op3_warc,
+        op4_language_id,
+        op5_substring_dedup,
+        op6_bpe,
+        op7_quality_rules,
+        op8_mix_sources,
+        op9_chat_format,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in own}
