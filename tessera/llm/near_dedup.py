@@ -12,9 +12,13 @@ gives a bucket.
 3. Components: min-label propagation over the links.
 4. Sweep: buckets whose members still belong to several components may hold links between
    two members neither of which is the smallest. Members outside a bucket's largest
-   component meet all members of other components; pairs are estimated and confirmed as
-   before, and components are made again. Pairs within a component can't change it, so no
-   bucket is ever expanded into all its pairs.
+   component meet the members of other components; pairs are estimated and confirmed as
+   before, and components are joined. Pairs within a component can't change it, so no
+   bucket is ever expanded into all its pairs. Before they meet, each such document's
+   shingles that no other document of these buckets has are counted: they lie outside every
+   intersection, which bounds the similarity of a pair from above, and pairs whose bound is
+   below the threshold never arise. So the copies of a large group that strayed too far to
+   be linked aren't compared with all the others.
 
 With BANDS = 40 and ROWS = 5 a pair at similarity 0.8 shares no bucket with probability
 1.2e-7; with SLACK = 5 the estimate loses 3e-7 of them. There is no cap on buckets, partners
@@ -37,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import words, zipped
-from tessera.llm.common import bound_batches, staged
+from tessera.llm import packed, words, zipped
+from tessera.llm.common import bound_batches, shuffle_count, staged
 
 BANDS, ROWS, BITS, SLACK = 40, 5, 2, 5.0
 SHINGLE, PERCENT = 4, 80
@@ -151,13 +155,13 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         linked = np.zeros(len(a), dtype=bool)
         cache: dict[bytes, np.ndarray] = {}
 
-        def shingles(packed: bytes, cache: dict = cache) -> np.ndarray:
-            if packed not in cache:
+        def shingles(blob: bytes, cache: dict = cache) -> np.ndarray:
+            if blob not in cache:
                 if len(cache) > 64:
                     cache.clear()
-                data = np.frombuffer(zipped.unzip(packed), dtype=np.uint8)
-                cache[packed] = shingle_sets(words.of_bytes(data, np.array([0, len(data)])))[0]
-            return cache[packed]
+                data = np.frombuffer(zipped.unzip(blob), dtype=np.uint8)
+                cache[blob] = shingle_sets(words.of_bytes(data, np.array([0, len(data)])))[0]
+            return cache[blob]
 
         for i, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
             x, y = shingles(x.as_py()), shingles(y.as_py())
@@ -209,6 +213,60 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct())
 
 
+def _send_shingles(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, zipped) to packed (shingle, doc); a shingle of two documents here is settled here."""
+    chunk = packed.Chunk()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        columns = chunk.take()
+        if not columns or not len(columns[0]):
+            return
+        h, doc = columns
+        order, starts = packed.groups(h, doc)
+        h, doc = h[order], doc[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        known = packed.per_row(starts, np.diff(np.append(starts, len(h))) > 1, len(h))
+        first = np.zeros(len(h), dtype=bool)
+        first[starts] = True
+        send = ~known | first
+        rows = [(x, False, y) for x, y in packed.by_bucket(buckets, h[send], doc[send], known[send].astype(np.int64))]
+        if known.any():
+            own, n = np.unique(doc[known], return_counts=True)
+            spread = words.mix(own.view(np.uint64))
+            o = np.argsort(spread)
+            rows += [(x, True, y) for x, y in packed.by_bucket(buckets, spread[o], own[o], n[o].astype(np.int64))]
+        yield packed.batch(rows)
+
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for a, b, block in zipped.blocks(batch.column("zipped")):
+            sets, first = shingle_sets(block)
+            if chunk.add(sets, np.repeat(ids[a:b], np.diff(first))):
+                yield from flush()
+    yield from flush()
+
+
+def _count_shared(records: list[np.ndarray], settled: list[np.ndarray]) -> pa.RecordBatch | None:
+    """How many shingles of each document another document has, as partial counts."""
+    out = [settled[1:]] if settled else []
+    if records:
+        h, doc, known = records
+        order, starts = packed.groups(h)
+        h, doc, known = h[order], doc[order], known[order]
+        several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.maximum.reduceat(known, starts) > 0)
+        own, n = np.unique(doc[packed.per_row(starts, several, len(h)) & (known == 0)], return_counts=True)
+        out.append([own, n.astype(np.int64)])
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n"])
+
+
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """doc_id and n_shared, the number of its shingles that another of the texts (doc_id, zipped) has."""
+    buckets = packed.SPREAD * shuffle_count(texts.sparkSession)
+    sent = texts.select("doc_id", "zipped").mapInArrow(lambda x: _send_shingles(x, buckets), packed.SCHEMA)
+    return packed.received(sent, _count_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n_shared"))
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     sketched = staged(sketches(docs), "sketches")
@@ -225,21 +283,31 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = staged(likely(stars, signatures, percent), "stars")
     candidates = members.select("doc_id").distinct()
     texts = staged(zipped.compressed(docs).join(candidates, "doc_id", "left_semi"), "texts")
-    links = staged(confirm(stars, texts, percent), "confirmed")
-    found = components(links)
+    found = staged(components(staged(confirm(stars, texts, percent), "confirmed")), "components")
 
     labelled = members.join(found, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     labelled = staged(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("k > 1")
-    active = staged(labelled.join(mixed.select("bucket", "main"), "bucket").join(signatures, "doc_id"), "active")
-    others = active.filter("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"))
-    everyone = active.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("packed").alias("py"))
-    met = others.join(everyone, "bucket").filter("cx <> cy").filter(estimate(F.col("px"), F.col("py")) >= least_estimate(percent))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    active = staged(labelled.join(mixed.select("bucket", "main"), "bucket"), "active")
+    bounds = shared_shingles(texts.join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
+    bounds = bounds.join(sketched.select("doc_id", "n_shingles").distinct(), "doc_id").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+    active = staged(active.join(bounds, "doc_id").join(signatures, "doc_id"), "active")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "packed", "n_shared", "n_shingles")]
+    others = active.filter("component <> main").select("bucket", *side("x"))
+    met = others.join(active.select("bucket", *side("y")), "bucket").filter("x_component <> y_component")
+    most = F.least("x_n_shared", "y_n_shared")
+    met = met.filter(100 * most >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
+    met = met.filter(estimate(F.col("x_packed"), F.col("y_packed")) >= least_estimate(percent))
+    met = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = staged(confirm(met, texts, percent), "swept")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    if not more.isEmpty():  # tie components together
+        label = lambda x: found.select(F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"))
+        ties = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        tied = components(ties).withColumnRenamed("component", "into").withColumnRenamed("doc_id", "component")
+        whole = found.join(tied, "component", "left").select("doc_id", F.coalesce("into", "component").alias("component"))
+        alone = tied.join(found, "component", "left_anti").select(F.col("component").alias("doc_id"), F.col("into").alias("component"))
+        found = whole.unionByName(alone)
 
     rows = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(found.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
