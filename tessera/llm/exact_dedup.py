@@ -127,7 +127,7 @@ def exact_dedup(docs: DataFrame, digest_length: int = 64) -> DataFrame:
     hits = staged(content.join(state.filter("size > 1"), "key"), "dedup-hits")
     first = hits.filter(F.col("__at") == F.col("best.at")).select("key", F.col("bytes").alias("kept_bytes"))
     differ = hits.filter(F.col("__at") != F.col("best.at")).join(first, "key").filter(F.col("bytes") != F.col("kept_bytes"))
-    differ = staged(differ.select("key").distinct(), "dedup-differ")
+    differ = staged(differ.select("key"), "dedup-differ").distinct()
 
     rows = log.join(state, "key")
     if not differ.isEmpty():
