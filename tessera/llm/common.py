@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: The six separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +59,9 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Limit Arrow batches by bytes, so that long texts don't add up in a worker."""
+    """Limit Arrow batches by bytes, so that long texts don't add up in a worker; and see
+    that workers can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, staged
+from tessera.llm.exact_dedup import located
 
 WEIGHTS = (5, 2, 1)
 
@@ -50,8 +51,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
             "open": F.sum("weight").over(after),
         }
     ).withColumn("level", F.col("left") / F.col("open"))
-    # the level is that of the first source, in order of filling up, which doesn't fill up
-    first = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(everything)
+    # the level is that of the first source, in order of filling up, which does not fill up; later ones only fall
+    first = F.max(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(everything)
     target = F.when(first.isNull(), F.col("cap")).otherwise(F.least(F.col("weight") * first, F.col("cap")))
     return levels.select("source", "source_size", target.alias("target"))
 
@@ -66,9 +67,11 @@ def random_offset(source: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix:") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs``."""
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix:", row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs``,
+    with the column ``row``, if named, which also settles ties."""
+    own = [row] if row else []
+    sized = docs.select("doc_id", "source", *own, word_count().alias("size"))
     # the texts are read once; what follows works on the narrow table
     sized = staged(sized.withColumn("bucket", hash_bucket("doc_id")), "mix-sizes")
     by_bucket = sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -82,7 +85,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: st
     smaller = by_size.select("source", "size", earlier("source", by="size").alias("smaller"))
     smaller = smaller.join(targets, smaller["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     before = by_bucket.select("source", "size", "bucket", earlier("source", "size", by="bucket").alias("before"))
-    ranked = sized.withColumn("within", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id")))
+    ranked = sized.withColumn("within", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", *own)))
 
     null = "\x00"  # joins on nullable sources by a key that stands for null, apart from every name
     key = F.when(F.col("source").isNull(), F.lit(null)).otherwise(F.concat(F.lit("="), F.col("source"))).alias("key")
@@ -93,4 +96,12 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: st
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     boundary = lambda r: F.floor(each * r + random_offset(F.col("source"), seed))
     rows = rows.withColumn("copies", (boundary(rank) - boundary(rank - 1)).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", *own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix:") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows are told apart by where they are stored."""
+    rows = located(docs)
+    copies = staged(mix_sources(rows, share, most, seed, row="__at").filter("copies > 0").select("__at", "copies"), "mix-copies")
+    taken = rows.join(copies.withColumnRenamed("copies", "__copies"), "__at")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

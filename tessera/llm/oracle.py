@@ -61,7 +61,7 @@ WITH sized AS (
             / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW f AS (ORDER BY cap / weight, source NULLS LAST)
 ), water AS (
-  SELECT min(level) FILTER (level * weight < cap) AS level FROM levels
+  SELECT max(level) FILTER (level * weight < cap) AS level FROM levels
 ), targets AS (
   SELECT source, source_size, CASE WHEN water.level IS NULL THEN cap ELSE least(weight * water.level, cap) END AS target
   FROM levels, water
