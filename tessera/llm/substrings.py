@@ -125,7 +125,7 @@ def unitigs(occurrences: DataFrame) -> DataFrame:
     )
     one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
     nodes = steps.groupBy("kmer").agg(F.coalesce(one("after"), F.lit(False)).alias("one_after"), F.coalesce(one("before"), F.lit(False)).alias("one_before"))
-    branches = nodes.filter(~(F.col("one_after") & F.col("one_before")))
+    branches = staged(nodes.filter(~(F.col("one_after") & F.col("one_before"))), "branches")  # apart, so that the join can split a hot k-mer
     flagged = occurrences.join(branches, "kmer", "left")
     broken = (gap_before > REACH) | ~F.coalesce("one_before", F.lit(True)) | ~F.lag(F.coalesce("one_after", F.lit(True))).over(doc)
     numbered = flagged.withColumn("starts", F.coalesce(broken, F.lit(True)).cast("int")).withColumn("path", F.sum("starts").over(doc))
@@ -183,8 +183,8 @@ def _send_windows(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[p
     yield from flush()
 
 
-def _later(records: list[np.ndarray], settled: list[np.ndarray]) -> pa.RecordBatch | None:
-    """Windows that also start in a smaller document, as positions by document."""
+def _later(records: list[np.ndarray], settled: list[np.ndarray], buckets: int) -> pa.RecordBatch | None:
+    """Windows that also start in a smaller document, packed by document."""
     out = [settled[1:]] if settled else []
     if records:
         h, second, doc, pos = records
@@ -195,19 +195,29 @@ def _later(records: list[np.ndarray], settled: list[np.ndarray]) -> pa.RecordBat
     doc, pos = (np.concatenate(c) for c in zip(*out, strict=True))
     if not len(doc):
         return None
-    order, starts = packed.groups(doc)
+    spread = words.mix(doc.view(np.uint64))
+    o = np.lexsort((pos, spread))
+    return packed.batch([(b, False, x) for b, x in packed.by_bucket(buckets, spread[o], doc[o], pos[o])])
+
+
+def _positions(records: list[np.ndarray], _: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each document with the positions of its windows."""
+    _, doc, pos = records
+    order, starts = packed.groups(doc, pos)
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(doc[order]) != 0)))
     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), pa.array(pos[order], pa.int32()))
     return pa.RecordBatch.from_arrays([pa.array(doc[order][starts], pa.int64()), lists], ["doc_id", "positions"])
 
 
 def later_windows(docs: DataFrame, paths: DataFrame) -> DataFrame:
-    """doc_id and positions of the windows on ``paths`` that also start in a smaller document."""
+    """doc_id and positions of the windows on ``paths`` that also start in a smaller document, one row per document."""
     spark = docs.sparkSession
     buckets = packed.SPREAD * shuffle_count(spark)
     spans = paths.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     texts = zipped.compressed(docs.filter("doc_id is not null")).join(spans, "doc_id")
     sent = texts.select("doc_id", "zipped", "spans").mapInArrow(lambda x: _send_windows(x, buckets), packed.SCHEMA)
-    return packed.received(sent, _later, "doc_id long, positions array<int>")
+    later = packed.received(sent, lambda x, y: _later(x, y, buckets), packed.SCHEMA)
+    return packed.received(later, _positions, "doc_id long, positions array<int>")
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +248,5 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     occurrences = staged(repeated_kmers(docs), "kmers")
     paths = staged(unitigs(occurrences), "unitigs")
     gone = staged(later_windows(docs, paths), "windows")
-    gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
     rows = zipped.compressed(docs).join(gone, "doc_id", "left").select("doc_id", "zipped", "positions")
     return rows.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
