@@ -1,8 +1,8 @@
 """MinHash near-dedup with b-bit signatures.
 
 Documents are sets of hashes of 4 consecutive words (A-Z lowered). Documents with equal
-sets are one class, and only its smallest doc_id goes on. Each class gets BANDS * ROWS
-minima; their low BITS bits are packed into a signature, and each band of ROWS full minima
+sets are one class, and only its smallest doc_id goes on. Each class gets MINIMA minima;
+their low BITS bits are packed into a signature, and each of BANDS bands of ROWS full minima
 gives a bucket.
 
 1. Candidates: every member of a bucket with its smallest member. Their similarity is
@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 from tessera.llm import packed, words, zipped
 from tessera.llm.common import bound_batches, shuffle_count, staged
 
-BANDS, ROWS, BITS, SLACK = 40, 5, 2, 5.0
+BANDS, ROWS, MINIMA, BITS, SLACK = 40, 5, 400, 4, 5.0
 SHINGLE, PERCENT = 4, 80
 _LANES = 64 // BITS
 _LOW = sum(1 << (BITS * i) for i in range(_LANES))
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, MINIMA), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_sets(block: words.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +77,10 @@ def _fold(hashes: np.ndarray) -> int:
 
 
 def minima(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of each of several sets that begin at ``starts``: (sets, minima)."""
+    """MINIMA minima of each of several sets that begin at ``starts``: (sets, minima)."""
     x = (sets >> np.uint64(32)).astype(np.uint32) ^ sets.astype(np.uint32)
     y = (words.mix(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint32)
+    out = np.empty((len(starts), MINIMA), dtype=np.uint32)
     for i, (a, b) in enumerate(_SEEDS.T):
         out[:, i] = np.minimum.reduceat((x * a) ^ (y + b), starts)
     return out
@@ -94,7 +94,7 @@ def sketch(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(m), 1))
     with np.errstate(over="ignore"):
         for i in range(ROWS):
-            key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, i::ROWS])
+            key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, i : BANDS * ROWS : ROWS])
     return key.view(np.int64), packed.view(np.int64)
 
 
@@ -125,8 +125,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def equal_minima(a: Column, b: Column) -> Column:
     """How many packed minima of two signatures agree."""
-    words_ = -(-BANDS * ROWS // _LANES)
-    total = F.lit(BANDS * ROWS)
+    words_ = -(-MINIMA // _LANES)
+    total = F.lit(MINIMA)
     low = _LOW - 2**64 if _LOW >= 2**63 else _LOW
     for i in range(words_):
         x = a[i].bitwiseXOR(b[i])
@@ -139,13 +139,13 @@ def equal_minima(a: Column, b: Column) -> Column:
 def estimate(a: Column, b: Column) -> Column:
     """Similarity estimated from packed signatures, corrected for minima that agree by chance."""
     chance = 2.0**-BITS
-    return (equal_minima(a, b) / F.lit(float(BANDS * ROWS)) - chance) / (1 - chance)
+    return (equal_minima(a, b) / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
 def least_estimate(percent: int = PERCENT) -> float:
     chance, j = 2.0**-BITS, percent / 100
     p = chance + (1 - chance) * j
-    return j - SLACK * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+    return j - SLACK * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
 def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -246,8 +246,8 @@ def _send_shingles(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[
     yield from flush()
 
 
-def _count_shared(records: list[np.ndarray], settled: list[np.ndarray]) -> pa.RecordBatch | None:
-    """How many shingles of each document another document has, as partial counts."""
+def _count_shared(records: list[np.ndarray], settled: list[np.ndarray], buckets: int) -> pa.RecordBatch | None:
+    """How many shingles of each document another document has, as partial counts packed by document."""
     out = [settled[1:]] if settled else []
     if records:
         h, doc, known = records
@@ -256,15 +256,26 @@ def _count_shared(records: list[np.ndarray], settled: list[np.ndarray]) -> pa.Re
         several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.maximum.reduceat(known, starts) > 0)
         own, n = np.unique(doc[packed.per_row(starts, several, len(h)) & (known == 0)], return_counts=True)
         out.append([own, n.astype(np.int64)])
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n"])
+    doc, n = (np.concatenate(c) for c in zip(*out, strict=True))
+    if not len(doc):
+        return None
+    spread = words.mix(doc.view(np.uint64))
+    o = np.argsort(spread)
+    return packed.batch([(b, False, x) for b, x in packed.by_bucket(buckets, spread[o], doc[o], n[o])])
+
+
+def _sum_counts(records: list[np.ndarray], _: list[np.ndarray]) -> pa.RecordBatch:
+    _, doc, n = records
+    order, starts = packed.groups(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc[order][starts], pa.int64()), pa.array(np.add.reduceat(n[order], starts), pa.int64())], ["doc_id", "n_shared"])
 
 
 def shared_shingles(texts: DataFrame) -> DataFrame:
     """doc_id and n_shared, the number of its shingles that another of the texts (doc_id, zipped) has."""
     buckets = packed.SPREAD * shuffle_count(texts.sparkSession)
     sent = texts.select("doc_id", "zipped").mapInArrow(lambda x: _send_shingles(x, buckets), packed.SCHEMA)
-    return packed.received(sent, _count_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n_shared"))
+    counted = packed.received(sent, lambda x, y: _count_shared(x, y, buckets), packed.SCHEMA)
+    return packed.received(counted, _sum_counts, "doc_id long, n_shared long")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
