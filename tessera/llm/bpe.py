@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm.common import bound_batches, slices
 
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
