@@ -11,7 +11,7 @@ with a null doc_id neither lose lines nor make others lose any; doc_id identifie
 document, so rows that share one are taken for repeats of one row. An empty table gives an
 empty result. Counts by chunk are aggregated before the shuffle; the comparison is an
 equi-join on the chunk's hash, which adaptive execution splits for a chunk that very many
-documents hold.
+documents hold. Texts meet what is wanted of them in sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     wanted = chunks.join(first.select("chunk", "first"), "chunk").select("doc_id", F.struct("chunk", "line", stays.alias("stays")).alias("x"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("x").alias("own"))
     texts = zipped.compressed(rows)
-    found = texts.join(wanted, "doc_id").select("doc_id", "zipped", "own").mapInArrow(_bytes_of_chunks, "doc_id long, chunk long, line int, stays boolean, lines int, bytes binary")
+    found = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "zipped", "own").mapInArrow(_bytes_of_chunks, "doc_id long, chunk long, line int, stays boolean, lines int, bytes binary")
     found = staged(found, "chunk-bytes")
     kept = found.filter("stays").select("chunk", F.col("bytes").alias("kept_bytes")).dropDuplicates(["chunk"])
     return found.filter("not stays").join(kept, "chunk").filter("bytes = kept_bytes").select("doc_id", "line", "lines").distinct()
@@ -123,5 +123,5 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text (the lines that stay, joined by ``\\n``) of each row."""
     gone = staged(repeated_chunks(docs), "chunk-repeats").groupBy("doc_id").agg(F.collect_list(F.struct("line", "lines")).alias("gone"))
-    rows = zipped.compressed(docs).join(gone, "doc_id", "left").select("doc_id", "zipped", "gone")
+    rows = zipped.compressed(docs).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "zipped", "gone")
     return rows.mapInArrow(_remove, "doc_id long, n_lines long, n_removed long, kept_text string")
