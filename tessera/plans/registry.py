@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import graphs, relational, similarity  # noqa: F401
+    from tessera.plans import graphs, relational, similarity, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

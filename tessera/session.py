@@ -44,3 +44,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     context.addPyFile(str(target))
     context._tessera_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset and the session is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
