@@ -17,8 +17,9 @@ def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> Da
 
 def tumbling_counts(spark: SparkSession, path: str) -> DataFrame:
     """Run :func:`tumbling` over a parquet log until it is used up; the counts as a table."""
+    folder, _, name = path.rpartition("/")  # a stream reads folders
     root = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
