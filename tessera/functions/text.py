@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Prefixes under which a DOI may be written.
 DOI_PREFIX = r"^(https?://(dx\.)?doi\.org/|doi:\s*)"
@@ -154,7 +155,7 @@ def keyword_hits(s: Column, keywords: list[str]) -> Column:
     return total
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Without combining marks, after Unicode decomposition."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
@@ -194,11 +195,11 @@ def set_ratio(a: str, b: str) -> float:
     return round(max(indel_ratio(one, two), *((indel_ratio(both, one), indel_ratio(both, two)) if both else (0.0,))), 4)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sort_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
