@@ -61,7 +61,7 @@ def preprint_id(s: Column) -> Column:
 
 def preprint_ids_in(s: Column) -> Column:
     """Ids that follow a preprint prefix in free text, in order of first appearance."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(rf"(?:arxiv[:\s/]*(?:abs/|pdf/)?)({PREPRINT_ID})"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(rf"arxiv(?:\.org/(?:abs|pdf)/|[:\s]+)({PREPRINT_ID})"), 1))
 
 
 def urls_in(s: Column) -> Column:

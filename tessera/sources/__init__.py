@@ -1 +1 @@
-
+"""Readers of semi-structured inputs, with explicit schemas."""
