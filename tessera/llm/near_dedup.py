@@ -13,8 +13,8 @@ gives a bucket.
 4. Sweep: buckets whose members still belong to several components may hold links between
    two members neither of which is the smallest. Members outside a bucket's largest
    component meet the members of other components; pairs are estimated and confirmed as
-   before, and components are joined. Pairs within a component can't change it, so no
-   bucket is ever expanded into all its pairs. Before they meet, each such document's
+   before, in one of the buckets they share, and components are joined. Pairs within a
+   component can't change it, so no bucket is ever expanded into all its pairs. Before they meet, each such document's
    shingles that no other document of these buckets has are counted: they lie outside every
    intersection, which bounds the similarity of a pair from above, and pairs whose bound is
    below the threshold never arise. So the copies of a large group that strayed too far to
@@ -303,13 +303,15 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     active = staged(labelled.join(mixed.select("bucket", "main"), "bucket"), "active")
     bounds = shared_shingles(texts.join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
     bounds = bounds.join(sketched.select("doc_id", "n_shingles").distinct(), "doc_id").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-    active = staged(active.join(bounds, "doc_id").join(signatures, "doc_id"), "active")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "packed", "n_shared", "n_shingles")]
+    active = active.join(bounds, "doc_id").join(signatures, "doc_id").join(unique.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+    active = staged(active, "active")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "packed", "n_shared", "n_shingles", "bands")]
     others = active.filter("component <> main").select("bucket", *side("x"))
     met = others.join(active.select("bucket", *side("y")), "bucket").filter("x_component <> y_component")
     most = F.least("x_n_shared", "y_n_shared")
     met = met.filter(100 * most >= percent * (F.col("x_n_shingles") + F.col("y_n_shingles") - most))
     met = met.filter(estimate(F.col("x_packed"), F.col("y_packed")) >= least_estimate(percent))
+    met = met.filter(F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("bucket"))  # of the buckets they share, in one
     met = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = staged(confirm(met, texts, percent), "swept")
     if not more.isEmpty():  # tie components together
