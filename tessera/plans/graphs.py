@@ -130,3 +130,20 @@ def snowball(spark: SparkSession, d: str) -> DataFrame:
     back = e.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(1).alias("via"))
     forward = e.join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.lit(2).alias("via"))
     return seeds.withColumn("via", F.lit(0)).unionByName(back).unionByName(forward).groupBy("id").agg(F.min("via").alias("via"))
+
+
+@query("gr09_communities")
+def communities(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: local moving isn't expressible; the test holds its modularity and plain cases."""
+    from tessera.operators.communities import communities as find
+
+    e = _edges(spark, d).select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().withColumn("w", F.lit(1.0))
+    return find(_nodes(spark, d).select("id"), e, rounds=4, levels=2)
+
+
+@query("ml03_subareas")
+def subareas(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: Lloyd's steps; the test holds plain cases."""
+    from tessera.operators.communities import kmeans
+
+    return kmeans(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("g"), F.col("embedding").alias("v")), per=20)
