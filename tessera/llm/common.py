@@ -49,15 +49,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete a table made by :func:`staged` once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if "/tessera-" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Limit Arrow batches by bytes, so that long texts don't add up in a worker; and see
     that workers can import this package."""

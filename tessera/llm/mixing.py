@@ -102,6 +102,6 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: st
 def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix:") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows are told apart by where they are stored."""
     rows = located(docs)
-    copies = staged(mix_sources(rows, share, most, seed, row="__at").filter("copies > 0").select("__at", "copies"), "mix-copies")
-    taken = rows.join(copies.withColumnRenamed("copies", "__copies"), "__at")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = staged(mix_sources(rows, share, most, seed, row="__tessera_at").filter("copies > 0").select("__tessera_at", "copies"), "mix-copies")
+    taken = rows.join(copies.withColumnRenamed("copies", "__tessera_copies"), "__tessera_at")
+    return taken.withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1), F.col("__tessera_copies")))).select(*docs.columns)

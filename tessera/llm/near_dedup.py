@@ -26,9 +26,9 @@ or candidates.
 
 Defined results: a text of fewer words than a shingle is one shingle of all its words; a
 null text or one without words has an empty set and is a component of its own. Rows with
-equal doc_id are all counted; such rows share a component only if their sets link them, and
-``component_id`` is a doc_id, so null doc_ids are components of their own. Extra columns are
-neither read nor returned.
+equal doc_id are taken for repeats of one document. A row without a doc_id links nothing: it
+has the component of the class of equal sets, if there is one, and is kept. Extra columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -330,5 +330,5 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near copies (and all rows without a set)."""
-    gone = near_dedup(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = near_dedup(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__tessera_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__tessera_gone"), "left_anti").select(*docs.columns)

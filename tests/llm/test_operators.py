@@ -75,6 +75,8 @@ def test_exact_dedup_keeps_columns(docs, rows, nothing):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({strip(t) for _, t, *_ in rows})
+    assert kept.filter("__at = 'clash' and digest = 'clash'").count() == kept.count()
+    assert exact_dedup.keep_first(docs.select("doc_id", "text")).count() == kept.count()
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
