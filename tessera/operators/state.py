@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graphs import cut
+
 
 def where(df: DataFrame, equal: dict | None = None, words: str | None = None, over: list[str] | None = None, tag: str | None = None, tags: str = "tags") -> DataFrame:
     """Rows that equal the given values, hold ``words`` literally in one of several columns, in any case, and have the tag."""
@@ -63,7 +65,8 @@ def even_sample(df: DataFrame, key: str, k: int) -> DataFrame:
 
     Rows are numbered by a range partitioning and each partition's count, not in one task.
     """
-    ranged = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    ranged = cut(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))  # ranges are sampled: fix them
+    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(F.lit(0)))})
