@@ -9,7 +9,6 @@ import pytest
 from tessera.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = ("op", "pipeline")
 
 
 @pytest.fixture(scope="module")
