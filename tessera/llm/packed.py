@@ -22,7 +22,7 @@ from tessera.llm.common import shuffle_count
 #: Records that a task gathers before it sends them on.
 CHUNK = 2_000_000
 #: Buckets for each shuffle partition.
-SPREAD = 4
+SPREAD = 2
 
 SCHEMA = "bucket int, settled boolean, blob binary"
 
