@@ -1,10 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by chunks of lines.
 
-Texts are split at ``\\n``. A chunk ends behind a line where a rolling hash over the hashes
-of the last WINDOW lines is 0 modulo DIVISOR, so lines added or removed before a chunk
-don't move its ends. Of equal chunks of two or more lines, in whatever documents, the one
-in the smallest doc_id, then at the first line, stays; the others go, after their bytes
-have been compared with the bytes of the one that stays.
+Texts are split at ``\\n``. Of equal chunks of two or more lines, in whatever documents, the
+one in the smallest doc_id, then at the first line, stays; the others go, after their bytes
+have been compared with the bytes of the one that stays. There are two kinds of chunks:
+
+- ``run_spans`` (op10): boundaries at every line, and a chunk from each of them, of
+  LEAST_LINES lines. Chunks overlap, so every run of two or more lines that repeats an
+  earlier one goes whole, wherever it lies. A line that goes is equal to an earlier line
+  of such a run, so each line's text stays somewhere. Where a chunk overlaps the one that
+  stays (a line said three times or more), the lines of the latter stay.
+- ``chunk_spans``: a chunk ends behind a line where a rolling hash over the hashes of the
+  last WINDOW lines is 0 modulo DIVISOR, so lines added or removed before a chunk don't
+  move its ends. Fewer chunks, but a repeated run only goes as far as it holds whole ones.
 
 Defined results: a null or empty text has no lines; chunks of white space only stay; rows
 with a null doc_id neither lose lines nor make others lose any; doc_id identifies a
@@ -16,7 +23,7 @@ documents hold. Texts meet what is wanted of them in sort-merge joins at every s
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,21 +73,35 @@ def chunk_spans(block: words.Words) -> dict[str, np.ndarray]:
     return {"row": row, "line": line_in_row[head], "lines": last - head + 1, "start": spans.start, "end": spans.end, "hash": spans.hashes().view(np.int64), "filled": filled}
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def run_spans(block: words.Words) -> dict[str, np.ndarray]:
+    """Like :func:`chunk_spans`: the LEAST_LINES lines from each line on that has so many in its text."""
+    start, end, first = line_spans(block)
+    row = np.repeat(np.arange(len(block)), np.diff(first))
+    head = np.flatnonzero(np.arange(len(start)) + LEAST_LINES <= first[1:][row])
+    last, row = head + LEAST_LINES - 1, row[head]
+    spans = words.Words(block.data, block.row_start, start[head], end[last], np.searchsorted(row, np.arange(len(block) + 1)))
+    filled = np.searchsorted(block.start, spans.end) > np.searchsorted(block.start, spans.start)
+    return {"row": row, "line": head - first[row], "lines": last - head + 1, "start": spans.start, "end": spans.end, "hash": spans.hashes().view(np.int64), "filled": filled}
+
+
+Spans = Callable[[words.Words], dict[str, np.ndarray]]
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, block in words.blocks(batch.column("text")):
-            c = chunk_spans(block)
+            c = spans(block)
             take = (c["lines"] >= LEAST_LINES) & (c["filled"] > 0)
             doc = batch.column("doc_id").slice(a, b - a).take(pa.array(c["row"][take]))
             yield pa.RecordBatch.from_arrays([doc, pa.array(c["hash"][take]), pa.array(c["line"][take], pa.int32())], ["doc_id", "chunk", "line"])
 
 
-def _bytes_of_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes_of_chunks(batches: Iterable[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
     """(doc_id, zipped, own: chunks wanted) to one row per wanted chunk with its bytes."""
     for batch in batches:
         wanted = batch.column("own").to_pylist()
         for a, b, block in zipped.blocks(batch.column("zipped")):
-            c = chunk_spans(block)
+            c = spans(block)
             place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(c["row"], c["line"], strict=True))}
             rows = [(a + i, x) for i in range(b - a) for x in wanted[a + i]]
             at = [place[r - a, x["line"]] for r, x in rows]
@@ -90,20 +111,22 @@ def _bytes_of_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "line", "stays", "lines", "bytes"])
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
     """doc_id, line and lines of each chunk that equals an earlier one, byte for byte."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    chunks = staged(rows.mapInArrow(_chunks, "doc_id long, chunk long, line int").dropDuplicates(["doc_id", "line"]), "chunks")
+    chunks = staged(rows.mapInArrow(lambda batches: _chunks(batches, spans), "doc_id long, chunk long, line int").dropDuplicates(["doc_id", "line"]), "chunks")
     first = chunks.groupBy("chunk").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stays = F.struct("doc_id", "line") == F.col("first")
     wanted = chunks.join(first.select("chunk", "first"), "chunk").select("doc_id", F.struct("chunk", "line", stays.alias("stays")).alias("x"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("x").alias("own"))
     texts = zipped.compressed(rows)
-    found = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "zipped", "own").mapInArrow(_bytes_of_chunks, "doc_id long, chunk long, line int, stays boolean, lines int, bytes binary")
+    found = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "zipped", "own").mapInArrow(lambda batches: _bytes_of_chunks(batches, spans), "doc_id long, chunk long, line int, stays boolean, lines int, bytes binary")
     found = staged(found, "chunk-bytes")
-    kept = found.filter("stays").select("chunk", F.col("bytes").alias("kept_bytes")).dropDuplicates(["chunk"])
-    return found.filter("not stays").join(kept, "chunk").filter("bytes = kept_bytes").select("doc_id", "line", "lines").distinct()
+    kept = found.filter("stays").select("chunk", F.col("bytes").alias("kept_bytes"), F.col("doc_id").alias("kept_doc"), (F.col("line") + F.col("lines")).alias("kept_end")).dropDuplicates(["chunk"])
+    same = found.filter("not stays").join(kept, "chunk").filter("bytes = kept_bytes")
+    begin = F.when(F.col("doc_id") == F.col("kept_doc"), F.greatest("line", "kept_end")).otherwise(F.col("line"))
+    return same.select("doc_id", begin.alias("line"), (F.col("line") + F.col("lines") - begin).alias("lines")).distinct()
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +143,8 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text (the lines that stay, joined by ``\\n``) of each row."""
-    gone = staged(repeated_chunks(docs), "chunk-repeats").groupBy("doc_id").agg(F.collect_list(F.struct("line", "lines")).alias("gone"))
+    gone = staged(repeated_chunks(docs, spans), "chunk-repeats").groupBy("doc_id").agg(F.collect_list(F.struct("line", "lines")).alias("gone"))
     rows = zipped.compressed(docs).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "zipped", "gone")
     return rows.mapInArrow(_remove, "doc_id long, n_lines long, n_removed long, kept_text string")

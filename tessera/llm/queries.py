@@ -74,7 +74,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.line_dedup(_table(spark, sf_dir, "documents"))
+    kept = lines.line_dedup(_table(spark, sf_dir, "documents"), lines.run_spans)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -347,3 +347,28 @@ def test_line_dedup(docs, rows, nothing):
     c = lines.chunk_spans(block)
     assert want[42][1] >= sum(n for at, n in zip(c["line"], c["lines"], strict=True) if at > 0 and n >= 2)
     assert lines.line_dedup(nothing).count() == 0
+
+
+def test_repeated_runs_of_lines(spark):
+    """Every run of two or more lines that repeats an earlier one goes, against brute force on lines."""
+    rng = np.random.default_rng(11)
+    unique = iter(range(10**6))
+    own = lambda n: [f"own line {next(unique)}" for _ in range(n)]
+    shared = [[f"shared {k} line {j}" for j in range(2 + k % 5)] for k in range(30)]
+    texts = [own(3) + shared[k] + own(2) for k in range(30)]
+    texts += [own(int(rng.integers(0, 4))) + shared[int(rng.integers(30))] + own(int(rng.integers(0, 4))) + [shared[k % 30][0]] + own(1) for k in range(60)]
+    texts += [["said"] * 3, ["said"] * 5, ["a", "b", "a", "b", "a"], [" ", "\t"], [" ", "\t"], ["é"], ["é"], own(2) + [""], [""]]
+    seen, want = {}, {}
+    for i, own_lines in enumerate(texts):
+        gone = set()
+        for at in range(len(own_lines) - 1):
+            pair = tuple(own_lines[at : at + 2])
+            if WORD.search("".join(pair)):
+                doc, first = seen.setdefault(pair, (i, at))
+                if (doc, first) != (i, at):
+                    gone |= {at, at + 1} - ({first, first + 1} if doc == i else set())
+        want[i] = (len(gone), "\n".join(x for k, x in enumerate(own_lines) if k not in gone))
+    assert all(want[i][0] >= 2 for i in range(30, 90))
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.line_dedup(df, lines.run_spans).collect()}
+    assert got == want
