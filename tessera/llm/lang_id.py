@@ -9,7 +9,7 @@ the two bytes before it, and the exact code length of a whole text is a sum of t
 entries. A text starts behind two boundary symbols.
 
 The trees are grown from a bounded sample: at most about ``sample_docs`` labelled documents
-of each language, chosen by a hash of doc_id, whole texts. Byte trigrams are counted on the
+of each language (every one that has a label), chosen by a hash of doc_id, whole texts. Byte trigrams are counted on the
 executors and summed by Spark; the driver gets the summed counts of the sample only. Every
 document is scored, over its whole text, in one pass without a shuffle.
 
@@ -32,8 +32,8 @@ from tessera.llm import words
 from tessera.llm.common import bound_batches
 
 SAMPLE_DOCS = 1500
-#: Languages with most labelled documents are learnt, so many at most.
-MAX_LANGUAGES = 64
+#: So many languages' tables are held at a time while a block of texts is scored; all languages are scored.
+TABLES = 64
 #: Bytes are told apart as so many classes: the most frequent of the sample, the boundary (0) and the rest (1).
 CLASSES = 128
 _BOUNDARY = 256
@@ -69,7 +69,7 @@ def padded(block: words.Words, table: np.ndarray, boundary: int = _BOUNDARY) ->
 
 
 class Model:
-    """Trigram counts by language; the dense table of code lengths is made where it is used."""
+    """Trigram counts by language; the dense tables of code lengths are made where they are used."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
@@ -81,16 +81,20 @@ class Model:
         self.classes[_BOUNDARY] = 0
         usual = [b for b in np.argsort(-seen[:256], kind="stable") if seen[b]][: CLASSES - 2]
         self.classes[usual] = np.arange(2, 2 + len(usual))
-        self._table: np.ndarray | None = None
+        self._tables: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
-    def table(self) -> np.ndarray:
-        """Bits of (language, class before last, last class, class)."""
-        if self._table is None:
-            self._table = np.stack([self._lengths(*self.counts[x]) for x in self.languages])
-        return self._table
+        return self.__dict__ | {"_tables": {}}
+
+    def tables(self) -> Iterator[np.ndarray]:
+        """Each language's bits of (class before last, last class, class). The first TABLES are kept, the others made anew each time."""
+        for x in self.languages:
+            bits = self._tables.get(x)
+            if bits is None:
+                bits = self._lengths(*self.counts[x])
+                if len(self._tables) < TABLES:
+                    self._tables[x] = bits
+            yield bits
 
     def _lengths(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
         a, b, s = (self.classes[x] for x in (code // 257**2, code // 257 % 257, code % 257))
@@ -120,7 +124,7 @@ class Model:
         start = block.row_start[:-1] + 2 * np.arange(len(n))
         out = np.zeros((len(n), len(self.languages)))
         total = np.zeros(len(at) + 1)
-        for k, bits in enumerate(self.table()):
+        for k, bits in enumerate(self.tables()):
             np.cumsum(bits[at], out=total[1:])
             out[:, k] = total[np.minimum(start + n, len(at))] - total[np.minimum(start, len(at))]
         return out
@@ -129,12 +133,12 @@ class Model:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from the text and non-null lang of ``docs`` (all of its rows count as labelled)."""
     labelled = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["n"])))])
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["n"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = labelled.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
+    sample = labelled.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
     bound_batches(docs.sparkSession)
     counted = sample.mapInArrow(count_trigrams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if counted.empty:

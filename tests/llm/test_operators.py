@@ -372,3 +372,14 @@ def test_repeated_runs_of_lines(spark):
     df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.line_dedup(df, lines.run_spans).collect()}
     assert got == want
+
+
+def test_more_languages_than_tables(spark):
+    """Every labelled language is learnt and can be predicted, however many there are."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    said = {f"l{k:03d}": f"{letters[k % 26]}{letters[k // 26]}" * 40 for k in range(100)}
+    rows = [(2 * k + j, text, lang) for k, (lang, text) in enumerate(said.items()) for j in range(2 if k < 70 else 1)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(said)
+    odd = spark.createDataFrame([(lang, text[:30]) for lang, text in said.items()], "lang string, text string")
+    assert all(r.row.lang == r.lang_pred for r in lang_id.predict(odd, model).collect())
