@@ -1,8 +1,11 @@
 """Entity resolution: references to known works, and duplicates among works.
 
 Both are cascades of joins from definite evidence to weak one. Fuzzy comparisons only meet
-rows of near years whose titles share a token; a title ratio at the thresholds used here is
-impossible without one. Ratios run as one pandas UDF on what is left.
+rows of near years whose titles share a token, or a piece of characters: without a common
+token the set ratio is the one of the sorted tokens' texts, of m and n characters. At
+TITLE_MIN these are at most 0.08 (m + n) <= 0.1741 m (rounding included) insertions and deletions apart, so of one
+more pieces of the one text, at least one is in the other, at most so many places off.
+Ratios run as one pandas UDF on what is left.
 """
 
 from __future__ import annotations
@@ -23,6 +26,30 @@ def _extra(a: Column, b: Column) -> Column:
     return F.size(F.array_except(F.split(b, " "), F.split(a, " ")))
 
 
+def _sorted_tokens(t: str) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.split(t, " "))), " ")
+
+
+def _edits(m: Column) -> Column:
+    """Most insertions and deletions of a text of m characters at TITLE_MIN."""
+    return F.floor(0.1741 * m).cast("int")
+
+
+def _by_pieces(left: DataFrame, a: str, right: DataFrame, b: str, keys: list[str]) -> DataFrame:
+    """Rows of both tables with equal keys, whose titles ``a`` and ``b`` may reach TITLE_MIN without a common token."""
+    gram = lambda at, q: F.struct(F.substring(F.col("_x"), at + 1, q).alias("gram"), at.cast("int").alias("at"))
+    m, q = F.col("_m"), F.when(F.col("_m") < 12, F.lit(3)).otherwise(F.lit(4))
+    one = left.withColumn("_x", _sorted_tokens(a)).withColumn("_m", F.length("_x")).filter("_m >= 6")
+    pieces = F.transform(F.sequence(F.lit(0), _edits(m)), lambda i: gram(F.floor(i * m / (_edits(m) + 1)).cast("int"), q))
+    one = one.select(*left.columns, "_m", F.explode(pieces).alias("_p")).select(*left.columns, "_m", F.col("_p.gram").alias("_gram"), F.col("_p.at").alias("_at"))
+    two = right.withColumn("_x", _sorted_tokens(b)).withColumn("_n", F.length("_x")).filter("_n >= 6")
+    all_of = lambda size: F.transform(F.sequence(F.lit(0), F.col("_n") - size), lambda i: gram(i, F.lit(size)))
+    grams = F.concat(all_of(3), all_of(4))
+    two = two.select(*right.columns, "_n", F.explode(grams).alias("_p")).select(*right.columns, "_n", F.col("_p.gram").alias("_gram"), F.col("_p.at").alias("_to"))
+    near = (F.abs(F.col("_at") - F.col("_to")) <= _edits(m)) & (F.abs(m - F.col("_n")) <= _edits(m))
+    return one.join(two, [*keys, "_gram"]).filter(near).drop("_m", "_n", "_gram", "_at", "_to").distinct()
+
+
 def resolve_references(refs: DataFrame, works: DataFrame) -> DataFrame:
     """citing, idx, status, work and method of refs (citing, idx, arxiv_ids, doi, title, year) against works (id, arxiv_id, doi, title, year).
 
@@ -41,7 +68,9 @@ def resolve_references(refs: DataFrame, works: DataFrame) -> DataFrame:
     open_ = known.filter("by_id is null and by_doi is null and year is not null and q <> ''").select("citing", "idx", "q", "year")
     titles = works.filter("year is not null").select(F.col("id").alias("work"), X.norm_title(F.col("title")).alias("t"), F.col("year").alias("y")).filter("t <> ''")
     near = open_.select("*", F.explode(F.array_distinct(F.split("q", " "))).alias("token"), F.col("year").alias("ry")).withColumn("y", F.explode(F.sequence(F.col("ry") - YEARS, F.col("ry") + YEARS)))
-    pairs = near.join(titles.withColumn("token", F.explode(F.array_distinct(F.split("t", " ")))), ["y", "token"]).select("citing", "idx", "q", "ry", "work", "t", "y").distinct()
+    pairs = near.join(titles.withColumn("token", F.explode(F.array_distinct(F.split("t", " ")))), ["y", "token"]).select("citing", "idx", "q", "ry", "work", "t", "y")
+    years = open_.withColumn("ry", F.col("year")).withColumn("y", F.explode(F.sequence(F.col("ry") - YEARS, F.col("ry") + YEARS))).drop("year")
+    pairs = pairs.unionByName(_by_pieces(years, "q", titles, "t", ["y"]).select(pairs.columns)).distinct()
     best = pairs.withColumn("set", X.token_set_ratio("q", "t")).filter(F.col("set") >= TITLE_MIN)
     w = Window.partitionBy("citing", "idx").orderBy(F.desc("set"), "y", "work")
     best = best.withColumn("r", F.row_number().over(w)).filter("r = 1").withColumn("sort", X.token_sort_ratio("q", "t"))
@@ -74,7 +103,9 @@ def duplicate_pairs(works: DataFrame) -> DataFrame:
     exact = own.filter("t <> ''").join(other, F.col("t") == F.col("t_2")).filter(ordered & (F.abs(F.col("year") - F.col("year_2")) <= 1)).withColumn("tier", F.lit("title_exact"))
     tokens = own.filter("t <> ''").withColumn("token", F.explode(F.array_distinct(F.split("t", " "))))
     tokens_2 = other.filter("t_2 <> ''").withColumn("token", F.explode(F.array_distinct(F.split("t_2", " "))))
-    shared = tokens.join(tokens_2, (F.col("year") == F.col("year_2")) & (tokens["token"] == tokens_2["token"])).filter(ordered & (F.col("t") != F.col("t_2"))).drop("token").distinct()
+    shared = tokens.join(tokens_2, (F.col("year") == F.col("year_2")) & (tokens["token"] == tokens_2["token"])).filter(ordered & (F.col("t") != F.col("t_2"))).drop("token")
+    by_pieces = _by_pieces(own.filter("t <> ''").withColumn("y", F.col("year")), "t", other.filter("t_2 <> ''").withColumn("y", F.col("year_2")), "t_2", ["y"])
+    shared = shared.unionByName(by_pieces.filter(ordered & (F.col("t") != F.col("t_2"))).select(shared.columns)).distinct()
     fuzzy = shared.filter(X.token_set_ratio("t", "t_2") >= TITLE_MIN).withColumn("sort", X.token_sort_ratio("t", "t_2"))
     subset = (_extra(F.col("t"), F.col("t_2")) == 0) | (_extra(F.col("t_2"), F.col("t")) == 0)
     fuzzy = fuzzy.filter((F.col("sort") >= SORT_MIN) | subset).withColumn("tier", F.lit("title_fuzzy"))

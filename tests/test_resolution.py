@@ -44,3 +44,14 @@ def test_references(spark):
     assert got[6][0] == "unmatched"
     assert got[7] == ("matched", 7, "title")  # the work's title is contained, years agree
     assert got[8][0] == "unmatched"
+
+
+def test_titles_without_a_common_token(spark):
+    pairs = [("transformers", "transformer"), ("pre training", "pretraining"), ("auto encoders", "autoencoders"), ("word embeddings", "words embedding"), ("nothing", "different")]
+    works = [(2 * k + j, None, None, t, 1990 + 5 * k, []) for k, two in enumerate(pairs) for j, t in enumerate(two)]
+    got = {(r.a, r.b): (r.tier, r.accepted) for r in R.duplicate_pairs(spark.createDataFrame(works, SCHEMA)).collect()}
+    assert got == {(2 * k, 2 * k + 1): ("title_fuzzy", True) for k in range(4)}
+    refs = [(100, k, [], None, two[1], 1991 + 5 * k) for k, two in enumerate(pairs)]
+    df = spark.createDataFrame(refs, "citing long, idx int, arxiv_ids array<string>, doi string, title string, year int")
+    found = R.resolve_references(df, spark.createDataFrame(works[::2], SCHEMA)).collect()
+    assert {r.idx: (r.status, r.work) for r in found} == {k: ("matched", 2 * k) for k in range(4)} | {4: ("unmatched", None)}
