@@ -47,11 +47,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset and the session is local."""
+    """The folder that driver and executors share: spark.checkpoint.dir, of the session or
+    the one given to the context.
+
+    Where neither is set, a local session (tests) gets a temporary folder; on a cluster that
+    would be a machine-local path, so there it is an error.
+    """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        held = context._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
+        found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
