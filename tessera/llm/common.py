@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import shared_folder, ship
 
 #: The six separators of the contracts: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Upper bound of one Arrow batch handed to a Python worker.
-BATCH_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (tests) gets a temporary folder; on a cluster
-    that would be a machine-local path, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+BATCH_BYTES = 4 << 20
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +27,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     table outlives any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a staged table's files."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: A lookup table is broadcast up to so many rows, each of numbers or a digest (some 20 MB); beyond, it is joined by a shuffle.
+LOOKUP_ROWS = 200_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Left join with a narrow staged table that has at most one row of each key. Wide rows aren't
+    shuffled where the table's size, which is counted first, allows a broadcast."""
+    small = table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return rows.join(F.broadcast(table) if small else table, list(keys), "left")
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -66,11 +87,12 @@ def empty_text(name: str = "text") -> Column:
 
 def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to ``most`` at most, or single rows above it."""
-    start = total = 0
+    start = total = end = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
             yield start, i
             start, total = i, 0
         total += int(n)
-    if len(sizes) > start:
-        yield start, len(sizes)
+        end = i + 1
+    if end > start:
+        yield start, end

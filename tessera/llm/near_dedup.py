@@ -1,6 +1,6 @@
 """MinHash near-dedup with b-bit signatures.
 
-Documents are sets of hashes of 4 consecutive words (A-Z lowered). Documents with equal
+Documents are sets of hashes of SHINGLE consecutive words (A-Z lowered), 4 unless told otherwise. Documents with equal
 sets are one class, and only its smallest doc_id goes on. Each class gets MINIMA minima;
 their low BITS bits are packed into a signature, and each of BANDS bands of ROWS full minima
 gives a bucket.
@@ -28,7 +28,7 @@ Defined results: a text of fewer words than a shingle is one shingle of all its
 null text or one without words has an empty set and is a component of its own. Rows with
 equal doc_id are taken for repeats of one document. A row without a doc_id links nothing: it
 has the component of the class of equal sets, if there is one, and is kept. Extra columns
-are neither read nor returned.
+are neither read nor returned. An empty table gives an empty result; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import packed, words, zipped
-from tessera.llm.common import bound_batches, shuffle_count, staged
+from tessera.llm.common import bound_batches, columns, free_name, staged
 
 BANDS, ROWS, MINIMA, BITS, SLACK = 40, 5, 400, 4, 5.0
 SHINGLE, PERCENT = 4, 80
@@ -104,10 +104,10 @@ def _lists(values: np.ndarray, filled: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, block in words.blocks(batch.column("text")):
-            sets, first = shingle_sets(block)
+            sets, first = shingle_sets(block, shingle)
             n = np.diff(first)
             filled = n > 0
             keys, packed = sketch(minima(sets, first[:-1][filled])) if filled.any() else (np.empty((0, BANDS), np.int64), np.empty((0, 1), np.int64))
@@ -116,11 +116,11 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "packed"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set, bucket keys and packed signature of each document."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>")
+    return rows.mapInArrow(lambda x: _sketch(x, shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>")
 
 
 def equal_minima(a: Column, b: Column) -> Column:
@@ -148,7 +148,7 @@ def least_estimate(percent: int = PERCENT) -> float:
     return j - SLACK * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
-def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterable[pa.RecordBatch], percent: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to the pairs (a, b) that are linked."""
     for batch in batches:
         a, b = batch.column("a"), batch.column("b")
@@ -160,7 +160,7 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 if len(cache) > 64:
                     cache.clear()
                 data = np.frombuffer(zipped.unzip(blob), dtype=np.uint8)
-                cache[blob] = shingle_sets(words.of_bytes(data, np.array([0, len(data)])))[0]
+                cache[blob] = shingle_sets(words.of_bytes(data, np.array([0, len(data)])), shingle)[0]
             return cache[blob]
 
         for i, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
@@ -171,11 +171,11 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough; texts: doc_id, zipped."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("zipped").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("zipped").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _confirm(x, percent, shingle), "a long, b long")
 
 
 def likely(pairs: DataFrame, signatures: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -213,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct())
 
 
-def _send_shingles(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _send_shingles(batches: Iterable[pa.RecordBatch], buckets: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, zipped) to packed (shingle, doc); a shingle of two documents here is settled here."""
     chunk = packed.Chunk()
 
@@ -240,7 +240,7 @@ def _send_shingles(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for a, b, block in zipped.blocks(batch.column("zipped")):
-            sets, first = shingle_sets(block)
+            sets, first = shingle_sets(block, shingle)
             if chunk.add(sets, np.repeat(ids[a:b], np.diff(first))):
                 yield from flush()
     yield from flush()
@@ -270,17 +270,16 @@ def _sum_counts(records: list[np.ndarray], _: list[np.ndarray]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc[order][starts], pa.int64()), pa.array(np.add.reduceat(n[order], starts), pa.int64())], ["doc_id", "n_shared"])
 
 
-def shared_shingles(texts: DataFrame) -> DataFrame:
+def shared_shingles(texts: DataFrame, buckets: int, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and n_shared, the number of its shingles that another of the texts (doc_id, zipped) has."""
-    buckets = packed.SPREAD * shuffle_count(texts.sparkSession)
-    sent = texts.select("doc_id", "zipped").mapInArrow(lambda x: _send_shingles(x, buckets), packed.SCHEMA)
-    counted = packed.received(sent, lambda x, y: _count_shared(x, y, buckets), packed.SCHEMA)
-    return packed.received(counted, _sum_counts, "doc_id long, n_shared long")
+    sent = texts.select("doc_id", "zipped").mapInArrow(lambda x: _send_shingles(x, buckets, shingle), packed.SCHEMA)
+    counted = packed.received(sent, lambda x, y: _count_shared(x, y, buckets), packed.SCHEMA, buckets)
+    return packed.received(counted, _sum_counts, "doc_id long, n_shared long", buckets)
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    sketched = staged(sketches(docs), "sketches")
+    sketched = staged(sketches(docs, shingle), "sketches")
     classes = sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = staged(classes, "classes")
     unique = sketched.join(classes, [sketched["digest"] == classes["digest"], sketched["doc_id"] == classes["class_id"]], "left_semi")
@@ -294,14 +293,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = staged(likely(stars, signatures, percent), "stars")
     candidates = members.select("doc_id").distinct()
     texts = staged(zipped.compressed(docs).join(candidates, "doc_id", "left_semi"), "texts")
-    found = staged(components(staged(confirm(stars, texts, percent), "confirmed")), "components")
+    found = staged(components(staged(confirm(stars, texts, percent, shingle), "confirmed")), "components")
 
     labelled = members.join(found, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     labelled = staged(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("k > 1")
     active = staged(labelled.join(mixed.select("bucket", "main"), "bucket"), "active")
-    bounds = shared_shingles(texts.join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
+    bounds = shared_shingles(texts.join(active.select("doc_id").distinct(), "doc_id", "left_semi"), packed.bucket_count(texts), shingle)
     bounds = bounds.join(sketched.select("doc_id", "n_shingles").distinct(), "doc_id").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
     active = active.join(bounds, "doc_id").join(signatures, "doc_id").join(unique.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
     active = staged(active, "active")
@@ -313,7 +312,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = met.filter(estimate(F.col("x_packed"), F.col("y_packed")) >= least_estimate(percent))
     met = met.filter(F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("bucket"))  # of the buckets they share, in one
     met = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = staged(confirm(met, texts, percent), "swept")
+    more = staged(confirm(met, texts, percent, shingle), "swept")
     if not more.isEmpty():  # tie components together
         label = lambda x: found.select(F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"))
         ties = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -328,7 +327,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group of near copies (and all rows without a set)."""
-    gone = near_dedup(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__tessera_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__tessera_gone"), "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near copies (and all rows without a set); its
+    columns stay, whatever their names."""
+    name = free_name(docs, "tessera_gone")
+    gone = near_dedup(docs, percent, shingle).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*columns(docs))

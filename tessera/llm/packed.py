@@ -3,7 +3,8 @@
 A task sorts its records by hash, cuts them into buckets of the hash range and sends one
 blob per bucket; columns are stored with the fewest bytes that hold their largest value.
 The receiving side reads one bucket at a time. Buckets are ranges of uniform hashes, so
-their sizes are even; groups that are large within a task are settled there and send one
+their sizes are even, and there are as many as the bytes of the input ask for, so that a
+bucket's size doesn't grow with the input; groups that are large within a task are settled there and send one
 record on, so that no hash is hot.
 """
 
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_count
+from tessera.llm.common import shuffle_count, stored_bytes
 
 #: Records that a task gathers before it sends them on.
 CHUNK = 2_000_000
-#: Buckets for each shuffle partition.
-SPREAD = 2
+#: Bytes of zipped text whose records share a bucket, on average.
+BUCKET_BYTES = 8 << 20
 
 SCHEMA = "bucket int, settled boolean, blob binary"
 
@@ -81,13 +82,19 @@ def by_bucket(buckets: int, h: np.ndarray, *columns: np.ndarray) -> Iterator[tup
         yield int(b), pack(h[s], *[c[s] for c in columns])
 
 
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for records of staged texts: by their bytes, and two for each core at least."""
+    spark = texts.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, -(-stored_bytes(texts) // BUCKET_BYTES))
+
+
 def batch(rows: Iterable[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     bucket, settled, blob = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(settled, pa.bool_()), pa.array(blob, pa.binary())], ["bucket", "settled", "blob"])
 
 
-def received(packed: DataFrame, work: Callable[[list[np.ndarray], list[np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Run ``work(records, settled records)`` on each bucket of rows (bucket, settled, blob)."""
+def received(packed: DataFrame, work: Callable[[list[np.ndarray], list[np.ndarray]], pa.RecordBatch | None], schema: str, buckets: int) -> DataFrame:
+    """Run ``work(records, settled records)`` on each of ``buckets`` buckets of rows (bucket, settled, blob)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, open_, done = None, [], []
@@ -101,7 +108,7 @@ def received(packed: DataFrame, work: Callable[[list[np.ndarray], list[np.ndarra
         if open_ or done:
             yield from _work(work, open_, done)
 
-    return packed.repartition(shuffle_count(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.repartition(max(shuffle_count(packed.sparkSession), buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _work(work: Callable, open_: list, done: list) -> Iterator[pa.RecordBatch]:

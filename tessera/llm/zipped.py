@@ -1,4 +1,5 @@
-"""Texts that are shuffled by doc_id travel compressed, and are split into words where they arrive."""
+"""Texts that are shuffled by doc_id travel compressed, and are split into words where they arrive.
+Where several joins on doc_id need them, they are stored in buckets of doc_id, so they move once."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import bound_batches
+from tessera.llm.common import bound_batches, fresh_path, shuffle_count
 
 
 def _compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,6 +28,19 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_compress, "doc_id long, zipped binary")
 
 
+def stored(docs: DataFrame, name: str) -> DataFrame:
+    """:func:`compressed` as a table of the shared folder in buckets of doc_id, one for each
+    shuffle partition: joins on doc_id read it in place. The catalog's entry may be dropped
+    with the folder once the results are written."""
+    spark = docs.sparkSession
+    path, n = fresh_path(spark, name), shuffle_count(spark)
+    table = "tessera_" + path.rsplit("-", 1)[1]
+    compressed(docs).repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._tessera_path = path
+    return out
+
+
 def unzip(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
