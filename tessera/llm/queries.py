@@ -56,9 +56,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    pair = F.array(*[F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))])
+    probe = spark.range(1).select(F.inline(pair))
     talks = chat.render(chat.fold_events(chat.as_events(turns.unionByName(probe))))
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     back = talks.withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_mask"))})
@@ -74,7 +75,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.line_dedup(_table(spark, sf_dir, "documents"), lines.run_spans)
+    kept = lines.line_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
