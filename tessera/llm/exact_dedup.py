@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.common import SEPARATORS, empty_text, fresh_path, staged
+from tessera.llm.common import SEPARATORS, columns, empty_text, free_name, fresh_path, staged
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,27 +40,31 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SEPARATORS, "")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with a stable locator of each row: file and row of the table it is read from.
-    Rows that come from no file are written to the shared folder first."""
-    if "__tessera_at" in docs.columns:
-        return docs
-    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.withColumn("__tessera_at", locator)
-    except AnalysisException:
-        return staged(docs, "located").withColumn("__tessera_at", locator)
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a stable locator of each row, file and row of the table it is read from, and
+    the locator's name, which no column of ``docs`` has. Rows that come from no file, and those
+    with a column that hides the file's metadata, are written to the shared folder first."""
+    at = free_name(docs, "tessera_at")
+    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(at)
+    if free_name(docs, "_metadata") == "_metadata":
+        try:
+            return docs.select(*columns(docs), locator), at
+        except AnalysisException:
+            pass
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    stored = staged(docs.toDF(*plain), "located")
+    return stored.select(*[F.col(c).alias(name) for c, name in zip(plain, docs.columns, strict=True)], locator), at
 
 
 def digest_log(docs: DataFrame, digest_length: int = 64) -> DataFrame:
-    """doc_id, digest, key (what the state is keyed by), n_code_points and locator of each row."""
+    """doc_id, digest, key (what the state is keyed by), code points and locator of each row (doc_id, text, at)."""
     digest = F.sha2(normalised(empty_text()).cast("binary"), 256)
-    return docs.select("doc_id", digest.alias("digest"), F.char_length(empty_text()).cast("long").alias("n"), "__tessera_at").withColumn("key", F.substring("digest", 1, digest_length))
+    return docs.select("doc_id", digest.alias("digest"), F.char_length(empty_text()).cast("long").alias("n"), "at").withColumn("key", F.substring("digest", 1, digest_length))
 
 
 def _best() -> Column:
     """Smallest first: most code points, doc_id with nulls last, locator."""
-    return F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__tessera_at").alias("at"))
+    return F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("at"))
 
 
 def stream_state(log: DataFrame, checkpoint: str, out: str) -> None:
@@ -121,34 +125,40 @@ def exact_dedup(docs: DataFrame, digest_length: int = 64) -> DataFrame:
     ``digest_length`` shortens the state's key (hex digits); shorter keys collide and only
     cost more comparisons of bytes.
     """
-    docs = located(docs)
+    rows, at = located(docs)
+    return _deduped(rows.select("doc_id", "text", F.col(at).alias("at")), digest_length)
+
+
+def _deduped(docs: DataFrame, digest_length: int = 64) -> DataFrame:
+    """:func:`exact_dedup` of rows (doc_id, text, at)."""
     state, log = retained(digest_log(docs, digest_length))
     state = staged(state, "dedup-retained")
-    content = docs.select("__tessera_at", normalised(empty_text()).alias("bytes"), F.char_length(empty_text()).cast("long").alias("n"), "doc_id")
+    content = docs.select("at", normalised(empty_text()).alias("bytes"), F.char_length(empty_text()).cast("long").alias("n"), "doc_id")
     content = content.withColumn("key", F.substring(F.sha2(F.col("bytes").cast("binary"), 256), 1, digest_length))
     hits = staged(content.join(state.filter("size > 1"), "key"), "dedup-hits")
-    first = hits.filter(F.col("__tessera_at") == F.col("best.at")).select("key", F.col("bytes").alias("kept_bytes"))
-    differ = hits.filter(F.col("__tessera_at") != F.col("best.at")).join(first, "key").filter(F.col("bytes") != F.col("kept_bytes"))
+    first = hits.filter(F.col("at") == F.col("best.at")).select("key", F.col("bytes").alias("kept_bytes"))
+    differ = hits.filter(F.col("at") != F.col("best.at")).join(first, "key").filter(F.col("bytes") != F.col("kept_bytes"))
     differ = staged(differ.select("key"), "dedup-differ").distinct()
 
     rows = log.join(state, "key")
     if not differ.isEmpty():
         inner = hits.join(differ, "key", "left_semi").drop("best", "size")
         groups = inner.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("own_size"), F.min(_best()).alias("own"))
-        own = staged(inner.join(groups, ["key", "bytes"]).select("__tessera_at", "own", "own_size"), "dedup-own")
-        rows = rows.join(own, "__tessera_at", "left").withColumns({"best": F.coalesce("own", "best"), "size": F.coalesce("own_size", "size")})
+        own = staged(inner.join(groups, ["key", "bytes"]).select("at", "own", "own_size"), "dedup-own")
+        rows = rows.join(own, "at", "left").withColumns({"best": F.coalesce("own", "best"), "size": F.coalesce("own_size", "size")})
     return rows.select(
         "doc_id",
         F.when(~F.col("best.no_id"), F.col("best.id")).alias("keep_id"),
         F.col("size").alias("group_size"),
-        (F.col("__tessera_at") == F.col("best.at")).alias("kept"),
+        (F.col("at") == F.col("best.at")).alias("kept"),
         F.col("digest").alias("text_sha256"),
-        F.col("__tessera_at").alias("at"),
+        "at",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies that :func:`exact_dedup` drops; its columns and order of columns stay."""
-    docs_at = located(docs)
-    gone = exact_dedup(docs_at).filter(~F.col("kept")).select(F.col("at").alias("__tessera_gone"))
-    return docs_at.join(gone, docs_at["__tessera_at"] == F.col("__tessera_gone"), "left_anti").select(*docs.columns)
+    """``docs`` without the copies that :func:`exact_dedup` drops; its columns and order of columns
+    stay, whatever their names."""
+    rows, at = located(docs)
+    gone = _deduped(rows.select("doc_id", "text", F.col(at).alias("at"))).filter(~F.col("kept")).select(F.col("at").alias(at))
+    return rows.join(gone, at, "left_anti").select(*columns(docs))

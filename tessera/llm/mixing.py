@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, staged
+from tessera.llm.common import WORD, columns, free_name, staged
 from tessera.llm.exact_dedup import located
 
 WEIGHTS = (5, 2, 1)
@@ -100,8 +100,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: st
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix:") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows are told apart by where they are stored."""
-    rows = located(docs)
-    copies = staged(mix_sources(rows, share, most, seed, row="__tessera_at").filter("copies > 0").select("__tessera_at", "copies"), "mix-copies")
-    taken = rows.join(copies.withColumnRenamed("copies", "__tessera_copies"), "__tessera_at")
-    return taken.withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1), F.col("__tessera_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; rows are told apart by where they
+    are stored. Its columns stay, whatever their names."""
+    rows, at = located(docs)
+    narrow = rows.select("doc_id", "source", "text", F.col(at).alias("at"))
+    n = free_name(rows, "tessera_copies")
+    copies = staged(mix_sources(narrow, share, most, seed, row="at").filter("copies > 0").select(F.col("at").alias(at), F.col("copies").alias(n)), "mix-copies")
+    taken = rows.join(copies, at)
+    return taken.withColumn(free_name(taken, "tessera_copy"), F.explode(F.sequence(F.lit(1), F.col(n)))).select(*columns(docs))
