@@ -11,16 +11,28 @@ Special tokens of the vocabulary file are cut out of a text first, as the tokeni
 library does by default; the rest is split into pretokens by the file's byte-level pattern.
 Decoding joins the bytes of the tokens and replaces what isn't UTF-8.
 
-Defined results: a null text counts as empty and has no ids; every text is encoded whole.
-Nothing is shuffled. A worker keeps the pieces of at most CACHE distinct pretokens.
+Memory is bounded by bytes, not by rows. Texts are worked off in steps of STEP characters; a
+longer text is cut before white space that follows a non-space, where a pretoken always ends.
+New pretokens are encoded CHUNK bytes at a time, and what a worker remembers of earlier ones
+is dropped beyond CACHE bytes. Only a single pretoken (a run without white space) is held
+whole, whatever its length.
+
+Defined results: a null text counts as empty and has no ids; every text is encoded whole, an
+empty or very long one too. Rows may repeat, each has its own result; doc_id is passed through,
+null or not. Extra columns are neither read nor returned; an empty table gives an empty
+result. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +40,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tessera.llm.common import bound_batches, slices
+from tessera.llm.common import bound_batches
 
 #: The byte-level pretoken pattern (fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 200_000
-#: Bytes of text whose new pretokens are encoded together.
-BATCH = 16 << 20
+#: A text is cut into pieces of so many characters.
+PIECE = 1 << 20
+#: New pretokens of as many pieces are encoded together as have STEP characters, or FRESH new units.
+STEP, FRESH = 8 << 20, 150_000
+#: Bytes, as far as they can be told, that a worker keeps of pretokens it has seen.
+CACHE = 96 << 20
+#: What an entry of some characters costs: three strings, a pair and its place in the table.
+_ENTRY = 400
 
 
 def default_vocabulary() -> str:
@@ -50,6 +67,10 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: A space beside white space, or white space at an end: words can't be told by spaces alone.
+_APART = re.compile(r" \s|\s |\A\s|\s\Z")
+
+
 class Vocabulary:
     """Tokens and merges of a byte-level BPE file of the tokenizers library."""
 
@@ -62,10 +83,11 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.bytes |= {i: token.encode() for token, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.of_byte = np.zeros(256, dtype=np.int64)
+        self.of_byte = np.zeros(256, dtype=np.int32)
         for c, b in characters.items():
             self.of_byte[b] = ids[c]
         self.size = max(self.bytes) + 1
+        self.pairs = [(str(i), self.bytes.get(i, b"")) for i in range(self.size)]  # an id as decimal text, and its bytes
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         left, right = (np.array([ids[m[k]] for m in merges], dtype=np.int64) for k in (0, 1))
         self.left, self.right, self.merged = left, right, np.array([ids[a + b] for a, b in merges], dtype=np.int64)
@@ -76,10 +98,11 @@ class Vocabulary:
         order = np.argsort(left * self.size + right, kind="stable")
         self.keys, self.ranks = (left * self.size + right)[order], order
         self.pattern = regex.compile(PATTERN)
+        self.cut_at = None if any(x.isspace() for t in self.special for x in t) else regex.compile(r"(?<=\S)\s")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -89,7 +112,7 @@ class Vocabulary:
         ends = np.cumsum(n)
         symbol = self.of_byte[np.frombuffer(b"".join(pretokens), dtype=np.uint8)]
         size = len(symbol)
-        following, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        following, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
         following[ends[n > 0] - 1] = -1
         before[(ends - n)[n > 0]] = -1
         alive = np.ones(size, dtype=bool)
@@ -97,10 +120,10 @@ class Vocabulary:
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
-        last = np.empty(size, dtype=np.int64)
+        last = np.empty(size, dtype=np.int32)
 
         def distinct(at: np.ndarray) -> np.ndarray:
-            place = np.arange(len(at))
+            place = np.arange(len(at), dtype=np.int32)
             last[at] = place
             return at[last[at] == place]
 
@@ -121,7 +144,7 @@ class Vocabulary:
                     index[r] = [own]
                     heapq.heappush(heap, r)
 
-        note(np.flatnonzero(following >= 0))
+        note(np.flatnonzero(following >= 0).astype(np.int32))
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
@@ -166,50 +189,71 @@ class Vocabulary:
     def units(self, text: str) -> list[str] | None:
         """The text cut before each space. A pretoken begins at every space that stands between
         two non-spaces, so pretokens can be taken of each unit alone; None where they can't."""
-        first, *rest = text.split(" ")
-        if self.split is not None and any(s in text for s in self.special):
-            return None
-        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in (rest or ("a",))) or not first or first[-1].isspace():
+        if not text or _APART.search(text) or (self.split is not None and any(s in text for s in self.special)):
             return None
+        first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def pieces(self, text: str, most: int = PIECE) -> Iterator[str]:
+        """The text in pieces of ``most`` characters where it can be cut so; a piece without a
+        place to cut is as long as it takes."""
+        start = 0
+        while len(text) - start > most and self.cut_at:
+            cuts = self.cut_at.search(text, start + most - min(most, 4096) // 2)
+            if not cuts:
+                break
+            yield text[start : cuts.start()]
+            start = cuts.start()
+        yield text[start:] if start else text
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Encoder:
-    """Encodes batches of texts; keeps ids (as decimal text) and bytes of the pretokens seen."""
+    """Encodes pieces of texts; keeps ids (as decimal text) and bytes of the units and pretokens it has seen."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.ids = {s: str(i) for s, i in self.vocabulary.special.items()}
-        self.bytes = {s: self.vocabulary.bytes[i] for s, i in self.vocabulary.special.items()}
-
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """Units or pretokens of the texts, with the ids of all of them at hand."""
-        if len(self.ids) > CACHE:
-            self.clear()
-        own, out = self.vocabulary, []
-        for text in texts:
-            units = own.units(text)
-            out.append(own.pretokens(text) if units is None else units)
-        new = list({w for x in out for w in x} - self.ids.keys())
-        parts = [own.pattern.findall(w) for w in new]
-        pretokens = list({p for x in parts for p in x} - self.ids.keys())
+        """Start a generation; what the last one used is at hand still, what it didn't use is dropped."""
+        own = self.vocabulary
+        self.before = getattr(self, "known", {})
+        self.known = {s: own.pairs[i] for s, i in own.special.items()}
+        self.held = 0
+
+    def split(self, text: str) -> list[str]:
+        """Units or pretokens of a piece."""
+        units = self.vocabulary.units(text)
+        return self.vocabulary.pretokens(text) if units is None else units
+
+    def learn(self, new: set[str]) -> None:
+        """Enter ids and bytes of these units."""
+        own, known = self.vocabulary, self.known
+        again = new.intersection(self.before)
+        known.update((w, self.before[w]) for w in again)
+        new = new.difference(known)
+        parts = {w: own.pattern.findall(w) for w in new if not (w.isalpha() or (w[0] == " " and w[1:].isalpha()))}
+        pretokens = list(new.difference(parts))
+        pretokens += {p for x in parts.values() for p in x}.difference(known, pretokens)
         if pretokens:
             ids, starts = own.encode_words([p.encode("utf-8", "replace") for p in pretokens])
-            ids, starts, token = ids.tolist(), starts.tolist(), own.bytes
-            for p, a, b in zip(pretokens, starts, starts[1:], strict=False):
-                self.ids[p] = ",".join(map(str, ids[a:b]))
-                self.bytes[p] = b"".join([token[i] for i in ids[a:b]])
-        for w, x in zip(new, parts, strict=True):
+            ids, starts = [own.pairs[i] for i in ids.tolist()], starts.tolist()
+            for p, i, j in zip(pretokens, starts, starts[1:], strict=False):
+                known[p] = ids[i] if j - i == 1 else _concatenated(ids[i:j])
+            self.held += 8 * len(ids)
+        for w, x in parts.items():
             if len(x) > 1:
-                self.ids[w] = ",".join([self.ids[p] for p in x])
-                self.bytes[w] = b"".join([self.bytes[p] for p in x])
-        return out
+                known[w] = _concatenated([known[p] for p in x])
+                self.held += 8 * len(w)
+        self.held += _ENTRY * (len(again) + len(pretokens) + len(parts))
+
+
+def _concatenated(pairs: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    ids, tokens = zip(*pairs, strict=True)
+    return ",".join(ids), b"".join(tokens)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -221,10 +265,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    column = batch.column("text")
-    for a, b in slices([len(x) if x else 0 for x in column.to_pylist()], BATCH):
-        yield a, b, [x or "" for x in column.slice(a, b - a).to_pylist()]
+def _steps(column: pa.Array, own: Encoder) -> Iterator[tuple[int, list[str]]]:
+    """(row, units) in order, with ids and bytes of the units in ``own.known``; a row has several
+    where its text is cut, and one at least."""
+    held, size, new = [], 0, set()
+    for row, text in enumerate(column):
+        for piece in own.vocabulary.pieces(text.as_py() or ""):
+            if size + len(piece) > STEP or len(new) > FRESH:
+                own.learn(new)
+                yield from held
+                held, size, new = [], 0, set()
+            if not held and 2 * own.held > CACHE:
+                own.clear()
+            units = own.split(piece)
+            held.append((row, units))
+            new |= set(units).difference(own.known)
+            size += len(piece)
+    own.learn(new)
+    yield from held
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -234,9 +292,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for a, b, texts in _texts(batch):
-                ids = [[int(i) for w in x for i in own.ids[w].split(",")] for x in own.split(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            flat, ends = array("i"), np.zeros(len(batch) + 1, dtype=np.int32)
+            for row, units in _steps(batch.column("text"), own):
+                for w in units:
+                    flat.extend(map(int, own.known[w][0].split(",")))
+                ends[row + 1] = len(flat)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -250,7 +312,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(path).vocabulary
         for batch in batches:
-            texts = [vocabulary.decode(x or ()) for x in batch.column("ids").to_pylist()]
+            texts = [vocabulary.decode(x.as_py() or ()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     bound_batches(encoded.sparkSession)
@@ -258,6 +320,25 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("text", "string"))
 
 
+class _Digest:
+    """Digests of one text's ids and of the text decoded from them, a piece at a time."""
+
+    def __init__(self) -> None:
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, own: Encoder, units: list[str]) -> None:
+        if units:
+            ids, own_bytes = _concatenated([own.known[w] for w in units])
+            self.ids.update(("," + ids if self.n else ids).encode())
+            self.n += ids.count(",") + 1
+            self.text.update(self.decoder.decode(own_bytes).encode())
+
+    def close(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them, in one
     pass: ids are digested where they are made instead of being sent through Spark twice."""
@@ -266,16 +347,15 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for a, b, texts in _texts(batch):
-                n, ids_sha, text_sha = [], [], []
-                for pieces in own.split(texts):
-                    ids = ",".join([own.ids[w] for w in pieces])
-                    text = b"".join([own.bytes[w] for w in pieces]).decode("utf-8", "replace")
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = []
+            for _, pieces in groupby(_steps(batch.column("text"), own), key=lambda x: x[0]):
+                digest = _Digest()
+                for _, units in pieces:
+                    digest.add(own, units)
+                found.append(digest.close())
+            n, ids_sha, text_sha = zip(*found, strict=True) if found else ((), (), ())
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
