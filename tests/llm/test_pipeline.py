@@ -25,7 +25,7 @@ def test_pipeline(spark):
     sets = {}
     for r in docs:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
-        sets[r.doc_id] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)}
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
     component = {i: i for i in sets}
     for i in sets:
         for j in sets:
