@@ -2,7 +2,8 @@
 
 1. language ID keeps documents that have a letter and a language;
 2. exact dedup keeps one row of equal texts;
-3. MinHash near-dedup keeps one document of each group of near copies;
+3. MinHash near-dedup keeps one document of each group of near copies, at a similarity of 0.8
+   or more on five-word shingles;
 4. mixing repeats or leaves out documents so that sources come near their target weights;
 5. BPE encodes what is left and decodes it again.
 
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import bpe, exact_dedup, lang_id, mixing, near_dedup
 from tessera.llm.common import fresh_path
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -32,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, shingle=SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
