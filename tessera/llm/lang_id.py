@@ -51,6 +51,7 @@ TABLE_BYTES = 384 << 20
 #: Bytes of packed trees that are broadcast at a time.
 BROADCAST_BYTES = 256 << 20
 _BITS = 9
+_TILE = 1 << 18
 _BOUNDARY = 256
 UNKNOWN = "und"
 
@@ -220,10 +221,10 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         for start, trees in self.trees():
             width = trees.levels[0][1].shape[1]
-            for a, b, block in words.blocks(texts, 1 << 20):
+            for a, b, block in words.blocks(texts):
                 codes, first = ngrams(block)
-                for lo in range(0, len(codes), 1 << 20):  # a long text in parts; its bits are summed up
-                    hi = min(lo + (1 << 20), len(codes))
+                for lo in range(0, len(codes), _TILE):  # a long text in parts; its bits are summed up
+                    hi = min(lo + _TILE, len(codes))
                     bits = trees.bits(codes[lo:hi])
                     cuts = np.clip(first, lo, hi) - lo
                     for i in range(width):

@@ -21,7 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Texts are cut into blocks of rows with so many bytes in all; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 #: Base of the polynomial word hash and its inverse modulo 2**64, and per-byte random values.
 _BASE = 0x9E3779B97F4A7C15 | 1
