@@ -114,6 +114,13 @@ def flatten_latex(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[{}~]", F.lit("")), r"\s+", " "))
 
 
+def year_of(raw: Column) -> Column:
+    """Year of a number as text (a year, epoch seconds or epoch milliseconds by its size), else of its first four characters."""
+    n = raw.try_cast("long")
+    epoch = F.when(n > 10**12, F.year(F.timestamp_millis(n))).when(n > 10**9, F.year(F.timestamp_seconds(n)))
+    return F.coalesce(epoch.cast("long"), n, F.substring(raw, 1, 4).try_cast("long"))
+
+
 def slug(s: Column, default: str = "untitled") -> Column:
     out = F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(out, F.lit("")), F.lit(default))

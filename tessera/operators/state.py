@@ -88,3 +88,26 @@ def insert_counts(new: DataFrame, held: DataFrame, key: str, order: str) -> Data
     rows = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).join(held.select(key).distinct().withColumn("_held", F.lit(True)), key, "left")
     fresh = (F.col("_r") == 1) & F.col("_held").isNull()
     return rows.agg(F.count_if(fresh).alias("inserted"), F.count_if(~fresh).alias("duplicates"))
+
+
+def dispatch(commands: DataFrame, log: DataFrame, project: str, order: str, kind: str, allowed: list[str]) -> DataFrame:
+    """Valid commands with the sequence each gets behind its project's last one (log: project, seq)."""
+    own = Window.partitionBy(project).orderBy(order)
+    valid = commands.filter(F.col(kind).isin(allowed) & F.col(project).isNotNull()).withColumn("n", F.row_number().over(own))
+    return valid.join(log, project, "left").withColumn("seq", F.coalesce("seq", F.lit(0)) + F.col("n")).drop("n")
+
+
+def partial_update(rows: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
+    """Rows with the allowed columns of their changes, and what came of each: kept, updated, or not found."""
+    new = changes.select(key, *[F.col(c).alias(f"{c}__new") for c in allowed], F.lit(True).alias("__changed"))
+    both = rows.withColumn("__known", F.lit(True)).join(new, key, "full")
+    known = F.col("__known").isNotNull()
+    columns = [F.when(known, F.coalesce(f"{c}__new", c)).alias(c) if c in allowed else F.col(c) for c in rows.columns]
+    outcome = F.when(~known, "not found").when(F.col("__changed").isNull(), "kept").otherwise("updated")
+    return both.select(*columns, outcome.alias("outcome"))
+
+
+def pending(steps: DataFrame, applied: DataFrame, version: str) -> DataFrame:
+    """Steps of later versions than the last applied one; applying them twice leaves nothing to do."""
+    last = applied.agg(F.max(version).alias("__last"))
+    return steps.crossJoin(last).filter(F.coalesce(F.col(version) > F.col("__last"), F.lit(True))).drop("__last")  # one row

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -24,8 +27,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def shared_sql(name: str, sql: str) -> None:
+    """Register a query whose SQL both engines run; tables stand in braces."""
+    tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(sql, **{t: table(spark, d, t) for t in tables})
+
+    query(name, sql.format(**{t: t for t in tables}))(run)
+
+
 def _load() -> None:
-    from tessera.plans import graphs, relational, similarity, texts  # noqa: F401
+    from tessera.plans import graphs, records, relational, similarity, stored, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

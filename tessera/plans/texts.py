@@ -139,11 +139,6 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("prj08_year_chain", "SELECT event_id, coalesce(CASE WHEN value > 1e12 THEN NULL END, year(ts)) AS y FROM events")
-def year_chain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.year("ts").cast("long").alias("y"))
-
-
 @query("jn13_duplicate_candidates", """WITH n AS (SELECT doc_id, n_chars, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS k FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.k = b.k AND a.doc_id < b.doc_id AND abs(a.n_chars - b.n_chars) <= 1""")
 def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
