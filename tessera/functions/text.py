@@ -80,14 +80,90 @@ def year_in(s: Column) -> Column:
 
 
 def surnames(authors: Column) -> Column:
-    """Distinct lower-case surnames of an author array: what stands before a comma, else the last word."""
+    """Distinct folded lower-case surnames of an author array: the last word before a comma, else the last word."""
 
     def one(a: Column) -> Column:
-        a = F.trim(a)
-        part = F.when(a.contains(","), F.substring_index(a, ",", 1)).otherwise(F.element_at(F.split(a, r"\s+"), -1))
-        return F.regexp_replace(F.lower(part), "[^a-z]+", "")
+        words = F.split(F.trim(F.substring_index(a, ",", 1)), r"\s+")
+        return F.regexp_replace(F.lower(F.element_at(words, -1)), "[^a-z]+", "")
 
-    return F.filter(F.array_distinct(F.transform(authors, one)), lambda x: F.length(x) > 0)
+    folded = F.split(fold(F.array_join(authors, "\x1f")), "\x1f")
+    return F.filter(F.array_distinct(F.transform(folded, one)), lambda x: F.length(x) > 0)
+
+
+def clean_title(s: Column) -> Column:
+    """A title without addresses and DOIs before it, a date behind it, and quotes."""
+    s = F.regexp_replace(s, r"^(?:\s*(?:https?://\S+|(?:doi:?\s*)?10\.\d{4,9}/\S+)[\s,.;:]*)+", "")
+    month = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+    s = F.regexp_replace(s, rf"[\s,.]+(?:\(?(?:{month}\.?,?\s+)?(?:\d{{1,2}},?\s+)?(?:19|20)\d{{2}}\)?)[.\s]*$", "")
+    return F.trim(F.translate(s, "\"'`\u201c\u201d\u2018\u2019\u201e\u00ab\u00bb", ""))
+
+
+def match_title(s: Column) -> Column:
+    """The form in which titles are compared: cleaned, folded, normalised."""
+    return norm_title(fold(clean_title(s)))
+
+
+def local_id(first: Column, second: Column, doi: Column) -> Column:
+    """Preprint id of the first field that has one, else of the DOI that names one."""
+    in_doi = F.nullif(F.regexp_extract(F.lower(doi), r"10\.48550/arxiv\.(\S+)$", 1), F.lit(""))
+    return F.coalesce(preprint_id(first), preprint_id(second), preprint_id(in_doi))
+
+
+def search_box_id(s: Column) -> Column:
+    """Preprint id typed as such at the end of a search, or within an abstract's address."""
+    found = F.coalesce(F.nullif(F.regexp_extract(s, r"arxiv\.org/(?:abs|pdf)/" + PREPRINT_ID, 1), F.lit("")), F.nullif(F.regexp_extract(F.trim(s), r"(?:^|\s|:)" + PREPRINT_ID + r"(?:v\d+)?$", 1), F.lit("")))
+    return found
+
+
+def unescape_html(s: Column) -> Column:
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(entity), F.lit(c))
+    return s
+
+
+def phrase_query(title: Column) -> Column:
+    """The title as a phrase in quotes."""
+    return F.concat(F.lit('"'), norm_title(unescape_html(title)), F.lit('"'))
+
+
+def head_query(title: Column) -> Column:
+    """The title up to its first colon."""
+    return norm_title(F.substring_index(unescape_html(title), ":", 1))
+
+
+def words_query(title: Column, most: int = 8) -> Column:
+    """The title's first words, all of them wanted."""
+    return F.array_join(F.slice(F.split(norm_title(unescape_html(title)), " "), 1, most), " AND ")
+
+
+#: Abbreviations behind which a sentence goes on.
+_GOES_ON = ("al", "e.g", "i.e", "fig", "figs", "eq", "eqs", "sec", "tab", "cf", "vs", "resp", "ref", "refs", "approx", "dr", "no")
+SENTENCE = 350
+
+
+def _ends(text: str, i: int) -> bool:
+    """Whether a sentence ends with the character at i."""
+    if text[i] not in ".!?" or not (text[i + 1 : i + 2].isspace() or i + 1 == len(text)):
+        return False
+    if text[i] != ".":
+        return True
+    words = text[max(0, i - 12) : i].replace("~", " ").split()
+    last = words[-1].lstrip("([").lower() if words else ""
+    return last not in _GOES_ON and not (len(last) == 1 and last.isalpha())
+
+
+def sentence_at(text: str, at: int) -> str:
+    """The sentence around an index, SENTENCE characters at most, the index among them."""
+    start, end = at, at
+    while start > 0 and not _ends(text, start - 1):
+        start -= 1
+    while end < len(text) and not _ends(text, end):
+        end += 1
+    found = text[start : end + 1]
+    if len(found.strip()) > SENTENCE:
+        cut = max(0, min(at - start - SENTENCE // 2, len(found) - SENTENCE))
+        found = found[cut : cut + SENTENCE]
+    return found.strip()
 
 
 def flip_author(name: Column) -> Column:
@@ -104,16 +180,6 @@ def cite_key(first_author: Column, year: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), fallback.cast("string"))
 
 
-def flatten_latex(s: Column) -> Column:
-    """Accents, commands (three levels deep), escapes and braces of LaTeX taken away."""
-    s = F.regexp_replace(s, r"\\[`'^\"~=.]\s*\{?([A-Za-z])\}?", "$1")
-    for _ in range(3):
-        s = F.regexp_replace(s, r"\\[a-zA-Z]+\*?\s*(?:\[[^\]]*\])?\{([^{}]*)\}", "$1")
-    s = F.regexp_replace(s, r"\\([&%$#_{}])", "$1")
-    s = F.regexp_replace(s, r"\\[a-zA-Z]+\*?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[{}~]", F.lit("")), r"\s+", " "))
-
-
 def year_of(raw: Column) -> Column:
     """Year of a number as text (a year, epoch seconds or epoch milliseconds by its size), else of its first four characters."""
     n = raw.try_cast("long")

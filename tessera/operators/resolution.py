@@ -60,13 +60,13 @@ def resolve_references(refs: DataFrame, works: DataFrame) -> DataFrame:
     A reference to the citing work itself has status ``self``.
     """
     ship(refs.sparkSession)
-    refs = refs.select("citing", "idx", "arxiv_ids", X.norm_doi(F.col("doi")).alias("doi"), X.norm_title(F.col("title")).alias("q"), "year")
+    refs = refs.select("citing", "idx", "arxiv_ids", X.norm_doi(F.col("doi")).alias("doi"), X.match_title(F.col("title")).alias("q"), "year")
     by_id = refs.select("citing", "idx", F.posexplode("arxiv_ids").alias("place", "arxiv_id")).join(works.filter("arxiv_id is not null").select("arxiv_id", F.col("id").alias("work")), "arxiv_id")
     by_id = by_id.groupBy("citing", "idx").agg(F.min(F.struct("place", "work")).alias("x")).select("citing", "idx", F.col("x.work").alias("by_id"))
     dois = works.select(X.norm_doi(F.col("doi")).alias("doi"), F.col("id").alias("work")).filter("doi is not null").groupBy("doi").agg(F.min("work").alias("by_doi"))
     known = refs.join(by_id, ["citing", "idx"], "left").join(dois, "doi", "left")
     open_ = known.filter("by_id is null and by_doi is null and year is not null and q <> ''").select("citing", "idx", "q", "year")
-    titles = works.filter("year is not null").select(F.col("id").alias("work"), X.norm_title(F.col("title")).alias("t"), F.col("year").alias("y")).filter("t <> ''")
+    titles = works.filter("year is not null").select(F.col("id").alias("work"), X.match_title(F.col("title")).alias("t"), F.col("year").alias("y")).filter("t <> ''")
     near = open_.select("*", F.explode(F.array_distinct(F.split("q", " "))).alias("token"), F.col("year").alias("ry")).withColumn("y", F.explode(F.sequence(F.col("ry") - YEARS, F.col("ry") + YEARS)))
     pairs = near.join(titles.withColumn("token", F.explode(F.array_distinct(F.split("t", " ")))), ["y", "token"]).select("citing", "idx", "q", "ry", "work", "t", "y")
     years = open_.withColumn("ry", F.col("year")).withColumn("y", F.explode(F.sequence(F.col("ry") - YEARS, F.col("ry") + YEARS))).drop("year")
@@ -94,7 +94,7 @@ def duplicate_pairs(works: DataFrame) -> DataFrame:
     without authors passes.
     """
     ship(works.sparkSession)
-    own = works.select("id", "arxiv_id", X.norm_doi(F.col("doi")).alias("doi"), X.norm_title(F.col("title")).alias("t"), "year", X.surnames(F.coalesce("authors", F.array().cast("array<string>"))).alias("s"))
+    own = works.select("id", "arxiv_id", X.norm_doi(F.col("doi")).alias("doi"), X.match_title(F.col("title")).alias("t"), "year", X.surnames(F.coalesce("authors", F.array().cast("array<string>"))).alias("s"))
     other = own.select([F.col(c).alias(f"{c}_2") for c in own.columns])
     own = own.filter("t <> '' or doi is not null or arxiv_id is not null")
     ordered = F.col("id") < F.col("id_2")

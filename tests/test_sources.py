@@ -27,6 +27,21 @@ def test_citations(spark):
     text = r"As \cite{z} said. \section{Intro} See \citep[p.~2]{a, b}. \subsection*{More} And \Citet{c}."
     rows = B.citations(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("idx", "key").collect()
     assert [(r.section, r.command, r.key) for r in rows] == [(None, "cite", "z"), ("Intro", "citep", "a"), ("Intro", "citep", "b"), ("More", "Citet", "c")]
+    assert rows[0].sentence == "As z said." and rows[3].sentence.startswith("More And c")
+
+
+def test_other_bibliographies(spark):
+    text = r"\entry{k1}{article}{} \field{title}{A {B} of C} \field{year}{2011} \verb{doi} \endverb \endentry \entry{k2}{book}{}\field{title}{D}\endentry"
+    rows = B.parse_biblatex(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("idx").collect()
+    assert [(r.kind, r.key, r.title, r.year) for r in rows] == [("article", "k1", "A B of C", 2011), ("book", "k2", "D", None)]
+    ris = "TY  - JOUR\nTI  - A Title\nAU  - Doe, J\nAU  - Roe, R\nPY  - 2001/02\nDO  - 10.1/Z\nER  - \nTY  - BOOK\nT1  - Two\nER  - \n"
+    files = [("a.ris", ris), ("b.txt", ris), ("c.bib", "@misc{m, title={T}}"), ("d", "no records")]
+    rows = B.parse_uploads(spark.createDataFrame(files, "name string, text string")).orderBy("name", "idx").collect()
+    assert [(r.name, r.title) for r in rows] == [("a.ris", "A Title"), ("a.ris", "Two"), ("b.txt", "A Title"), ("b.txt", "Two"), ("c.bib", "T")]
+    assert (rows[0].author, rows[0].year, rows[0].doi) == ("Doe, J and Roe, R", 2001, "10.1/z")
+    shapes = [("\\bibitem{a}", "", ""), ("", "\\bibitem{a}", ""), ("\\entry{a}", "", "@a{b}"), ("", "", "@a{b}"), ("", "\\includepdf{x}", ""), (None, None, None)]
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(shapes)], "i int, bbl string, tex string, bib string").select("i", B.source_shape(F.col("bbl"), F.col("tex"), F.col("bib")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == ["bbl", "inline", "biblatex", "bib", "pdf_wrapper", "no_bib"]
 
 
 def test_readers(spark, tmp_path):
