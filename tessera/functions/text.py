@@ -209,9 +209,12 @@ def from_inverted_index(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
-def first_sentences(s: Column, n: int = 3, most: int = 320) -> Column:
-    found = F.slice(F.regexp_extract_all(s, F.lit(r"([^.!?]+[.!?]+)"), 1), 1, n)
-    return F.substring(F.when(F.size(found) > 0, F.trim(F.array_join(found, ""))).otherwise(s), 1, most)
+def short_abstract(s: Column, n: int = 3, most: int = 320) -> Column:
+    """The first n sentences, or else the text's beginning; what is cut ends in an ellipsis."""
+    raw = F.trim(F.replace(s, F.lit("\n"), F.lit(" ")))
+    found = F.trim(F.array_join(F.slice(F.regexp_extract_all(raw, F.lit(r"([^.!?]+[.!?]+)"), 1), 1, n), " "))
+    cut_ = lambda x: F.concat(F.substring(x, 1, most - 3), F.lit("…"))
+    return F.when(F.length(found) > most, cut_(found)).when((found == "") & (raw != ""), cut_(raw)).otherwise(found)
 
 
 def salvage_json(s: Column) -> Column:

@@ -45,14 +45,29 @@ def remap(edges: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return edges.join(mapping, edges[column] == mapping["old"], "left").withColumn(column, F.coalesce("new", column)).select(*edges.columns)
 
 
+def before(df: DataFrame, order: list, by: list[str] | None = None, weight: Column | None = None, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``weight`` (1 each) over the rows ahead of each, in an order without
+    ties within ``by``, whose columns aren't null.
+
+    Rows are sorted in ranges, so neither the table nor a group has to fit a task: a range
+    sums its own rows, and a table with a row for each range says what lies ahead of it.
+    """
+    by = by or []
+    ranged = df.withColumn("_w", F.lit(1) if weight is None else weight)
+    ranged = cut(ranged.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))  # ranges are sampled: fix them
+    ahead = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_i", F.coalesce(F.sum("_w").over(ahead("_p", *by).orderBy(*order)), F.lit(0)))
+    sizes = ranged.groupBy("_p", *by).agg(F.sum("_w").alias("_n"))
+    sizes = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(ahead(*(by or [F.lit(0)])).orderBy("_p")), F.lit(0))).drop("_n")
+    return ranged.join(sizes, ["_p", *by]).select(*df.columns, (F.col("_b") + F.col("_i")).alias(name))
+
+
 def percentile_rank(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with pr: mean 0-based rank of ties over n - 1. Ranks come from counts by value,
-    so only distinct values are sorted in one place."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    pr = (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") - 1) / 2) / F.nullif(F.sum("n").over(everything) - 1, F.lit(0))
-    return df.join(counts.select(column, pr.alias("pr")), column)
+    """``df`` with pr: mean 0-based rank of ties over n - 1. Ranks come from counts by value."""
+    counts = before(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), [column], weight=F.col("n"))
+    total = counts.agg(F.sum("n").alias("_all"))
+    pr = (F.col("before") + (F.col("n") - 1) / 2) / F.nullif(F.col("_all") - 1, F.lit(0))
+    return df.join(counts.crossJoin(F.broadcast(total)).select(column, pr.alias("pr")), column)  # one row
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -61,19 +76,11 @@ def keep_one(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def even_sample(df: DataFrame, key: str, k: int) -> DataFrame:
-    """k rows evenly spaced in the order of a unique key, the first and the last included.
-
-    Rows are numbered by a range partitioning and each partition's count, not in one task.
-    """
-    ranged = cut(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))  # ranges are sampled: fix them
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(F.lit(0)))})
-    rows = ranged.join(sizes, "_p")
-    place = F.col("_before") + F.col("_i")
+    """k rows evenly spaced in the order of a unique key, the first and the last included."""
+    rows = before(df, [key], name="_at")
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
     steps = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_all") - 1) / float(max(1, k - 1))).cast("long")))
-    return rows.filter(F.array_contains(steps, place)).select(*df.columns)
+    return rows.crossJoin(F.broadcast(total)).filter(F.array_contains(steps, F.col("_at"))).select(*df.columns)  # one row
 
 
 def compare_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +65,29 @@ def bibtex_entry(key: Column, fields: dict[str, Column]) -> Column:
     """A BibTeX article; fields that are null are left out."""
     lines = F.array_join(F.filter(F.array(*[F.concat(F.lit(f"  {n} = {{"), c, F.lit("}")) for n, c in fields.items()]), lambda x: x.isNotNull()), ",\n")
     return F.concat(F.lit("@article{"), key, F.lit("\n"), lines, F.lit("\n}"))
+
+
+def digest_of_texts(df: DataFrame, group: str, order: str, text: str, name: str) -> DataFrame:
+    """md5 of each group's texts in order, one after the other (nulls left out).
+
+    The digest of a concatenation is taken in sequence by its definition, so a group is read by
+    one task; but as a sorted stream of batches, never held or concatenated.
+    """
+    schema = df.select(F.col(group), F.lit("").alias(name)).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest = None, None
+        done = lambda: pa.RecordBatch.from_pylist([{group: current, name: digest.hexdigest()}], schema=target)
+        for batch in batches:
+            target = pa.schema([batch.schema.field(group), pa.field(name, pa.string())])
+            for key, value in zip(batch.column(group).to_pylist(), batch.column(text), strict=True):
+                if digest is None or key != current:
+                    if digest is not None:
+                        yield done()
+                    current, digest = key, hashlib.md5(usedforsecurity=False)
+                digest.update((value.as_py() or "").encode())
+        if digest is not None:
+            yield done()
+
+    rows = df.select(group, order, text).repartition(group).sortWithinPartitions(group, order)
+    return rows.select(group, text).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import unit
+from tessera.functions.vectors import dot, unit
 from tessera.session import ship
 
 #: Vectors in a block; a task multiplies two blocks at a time.
@@ -71,6 +71,24 @@ def mean_vectors(vectors: DataFrame, label: str, column: str) -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
 
 
+def cosine_silhouette(vectors: DataFrame, column: str) -> DataFrame:
+    """id, label and silhouette of (id, label, vector) under the cosine distance, exact.
+
+    The mean distance to a label's members is 1 minus the product with the sum of their unit vectors
+    over their number, so points meet labels, never each other.
+    """
+    units = vectors.select("id", "label", unit(F.col(column)).alias("v"))
+    means = mean_vectors(units, "label", "v").join(units.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    every = means.agg(F.collect_list(F.struct(F.col("label").alias("other"), "mean", "n")).alias("labels"))  # a row for each label
+    rows = units.crossJoin(every).withColumn("own", F.filter("labels", lambda x: x["other"] == F.col("label"))[0])  # one row
+    n = F.col("own.n")
+    inside = F.when(n > 1, 1 - (dot(F.col("v"), F.col("own.mean")) * n - dot(F.col("v"), F.col("v"))) / (n - 1))
+    outside = F.array_min(F.transform(F.filter("labels", lambda x: x["other"] != F.col("label")), lambda x: 1 - dot(F.col("v"), x["mean"])))
+    both = rows.select("id", "label", inside.alias("a"), outside.alias("b"))
+    most = F.greatest("a", "b")
+    return both.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (most == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / most).alias("silhouette"))
+
+
 def min_max(x: Column, *by: str, constant: float = 1.0) -> Column:
     """Scaled to 0..1 within a group; ``constant`` where all values are the same."""
     w = Window.partitionBy(*by)

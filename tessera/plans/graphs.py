@@ -85,6 +85,18 @@ def hits_converged(spark: SparkSession, d: str) -> DataFrame:
     return G.hits(_nodes(spark, d).select("id"), G.cut(_edges(spark, d)), rounds=None).select("id", F.round("authority", 7).alias("authority"))
 
 
+_GR02 = ", w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM both_), m0 AS (SELECT id, p_brand AS label, 1.0::DOUBLE AS mass FROM n)" + "".join(
+    f", g{i} AS (SELECT src AS id, label, sum(share * mass) AS got FROM w JOIN m{i} ON id = dst GROUP BY 1, 2), m{i + 1} AS (SELECT id, label, CASE WHEN id IN (SELECT src FROM w) THEN 0.55::DOUBLE * coalesce(mass, 0) + 0.45::DOUBLE * coalesce(got, 0) ELSE coalesce(mass, 0) END AS mass FROM m0 FULL JOIN g{i} USING (id, label))" for i in range(6)
+)
+
+
+@query("gr02_membership", E + _GR02 + " SELECT id, label, round(mass, 6) AS mass FROM m6")
+def membership(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of brands that reach each part in six rounds."""
+    e = G.undirected(_edges(spark, d)).withColumn("w", F.lit(1.0))
+    return G.diffuse_membership(_nodes(spark, d).select("id", F.col("p_brand").alias("label")), G.cut(e)).select("id", "label", F.round("mass", 6).alias("mass"))
+
+
 @query("gr11_modularity", E + """, l AS (SELECT u, v, a.p_brand AS la, b.p_brand AS lb FROM p JOIN n a ON a.id = u JOIN n b ON b.id = v),
 m AS (SELECT count(*)::DOUBLE AS m FROM l), i AS (SELECT count(*)::DOUBLE AS i FROM l WHERE la = lb), dg AS (SELECT label, count(*)::DOUBLE AS k FROM (SELECT la AS label FROM l UNION ALL SELECT lb FROM l) GROUP BY 1)
 SELECT round((SELECT i FROM i) / (SELECT m FROM m) - sum(k * k) / (4 * (SELECT m * m FROM m)), 7) AS modularity FROM dg""")
@@ -150,7 +162,7 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     from tessera.operators.communities import communities as find
 
     e = _edges(spark, d).select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().withColumn("w", F.lit(1.0))
-    return find(_nodes(spark, d).select("id"), e, rounds=4, levels=2)
+    return find(_nodes(spark, d).select("id"), e)
 
 
 @query("ml03_subareas")

@@ -208,7 +208,7 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
 SELECT p_partkey, metric, row_number() OVER (PARTITION BY metric ORDER BY v DESC, p_partkey) AS rank FROM m""")
 def metric_ranks(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "part").select("p_partkey", F.expr("stack(2, 'price', p_retailprice, 'size', double(p_size)) AS (metric, v)"))
-    return m.select("p_partkey", "metric", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("v"), "p_partkey")).alias("rank"))
+    return S.before(m, [F.desc("v"), "p_partkey"], by=["metric"]).select("p_partkey", "metric", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 @query("win02_top_per_group", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 5")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators import plane as OP
 from tessera.operators import vectors as OV
 from tessera.plans.registry import query
 from tessera.session import table
@@ -135,6 +136,10 @@ def _plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", "label", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plane(spark, sf_dir).withColumnRenamed("vec_id", "id")
+
+
 @query("agg06_centroids", XY + "SELECT label, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n FROM c GROUP BY label")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plane(spark, sf_dir).groupBy("label").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.count(F.lit(1)).alias("n"))
@@ -169,11 +174,46 @@ def padded_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM c a JOIN c b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT src, dst, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS r FROM d) WHERE r <= 3""")
 def plane_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _plane(spark, sf_dir)
-    q = p.select("label", F.col("vec_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    near = p.join(q, "label").filter("vec_id <> dst").select(F.col("vec_id").alias("src"), "dst", F.round(dx * dx + dy * dy, 9).alias("d2"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).filter("rank <= 3").select("src", "dst", "rank")
+    return OP.knn(_points(spark, sf_dir), 3, by="label").select("src", "dst", "rank")
+
+
+_NEAR = """, d AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label AS la, b.label AS lb, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9) AS d2 FROM c a JOIN c b ON a.vec_id <> b.vec_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS r FROM d) WHERE r <= {k})"""
+
+
+@query("prj22_displacement", XY + _NEAR.format(k=12) + """, e AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS l FROM near)
+SELECT src, dst, round(bx + (bx - ax) / (CASE WHEN l = 0 THEN 1 ELSE l END) * 18.0::DOUBLE, 6) AS x, round(by_ + (by_ - ay) / (CASE WHEN l = 0 THEN 1 ELSE l END) * 18.0::DOUBLE, 6) AS y FROM e""")
+def displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's 12 nearest, moved away from it."""
+    p = _points(spark, sf_dir)
+    return OP.pushed(OP.knn(p, 12), p, 18.0).select("src", "dst", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_PLANE_SILHOUETTE = """, e AS (SELECT src, la, lb, avg(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))) AS d FROM d GROUP BY 1, 2, 3),
+s AS (SELECT src, max(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM e GROUP BY 1), sil AS (SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS v FROM s)"""
+
+
+@query("ml06_territory", XY + _NEAR.format(k=10) + _PLANE_SILHOUETTE + """, m AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY 1),
+o AS (SELECT vec_id, c.label, arg_min(m.label, ((x - cx) * (x - cx) + (y - cy) * (y - cy), m.label)) AS nearest FROM c, m GROUP BY 1, 2),
+q AS (SELECT (SELECT avg((la = lb)::INT) FROM near) AS purity, (SELECT avg((label = nearest)::INT) FROM o) AS centroid, (SELECT v FROM sil) AS silhouette)
+SELECT round(purity, 5) AS purity, round(centroid, 5) AS centroid, round(silhouette, 5) AS silhouette, round((purity + centroid + (silhouette + 1) / 2) / 3, 5) AS territory FROM q""")
+def territory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    label = lambda c, to: p.select(F.col("id").alias(c), F.col("label").alias(to))
+    purity = OP.knn(p, 10).join(label("src", "la"), "src").join(label("dst", "lb"), "dst").agg(F.avg((F.col("la") == F.col("lb")).cast("int")).alias("purity"))
+    centroid = OP.nearest_centre(p, "label").agg(F.avg((F.col("label") == F.col("nearest")).cast("int")).alias("centroid"))
+    whole = _silhouettes(spark, sf_dir).agg(F.avg("silhouette").alias("silhouette"))
+    score = (F.col("purity") + F.col("centroid") + (F.col("silhouette") + 1) / 2) / 3
+    return purity.crossJoin(centroid).crossJoin(whole).select(*[F.round(c, 5).alias(c) for c in ("purity", "centroid", "silhouette")], F.round(score, 5).alias("territory"))  # one row each
+
+
+@query("ml05_silhouette_cosine", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM u),
+d AS (SELECT a.vec_id, a.label, b.label AS other, avg(1 - list_dot_product(a.v, b.v) / (a.norm * b.norm)) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+s AS (SELECT vec_id, label, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM d GROUP BY 1, 2)
+SELECT label, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM s GROUP BY label""")
+def silhouette_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return OV.cosine_silhouette(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", "embedding"), "embedding").groupBy("label").agg(F.round(F.avg("silhouette"), 5).alias("silhouette"))
 
 
 @query("ml06_neighbour_purity", COSINES + "SELECT a.label, round(avg((a.label = b.label)::INT), 6) AS purity FROM knn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE rank <= 10 GROUP BY a.label")
@@ -188,9 +228,13 @@ FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, label, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM d GROUP BY 1, 2)
 SELECT label, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM s GROUP BY label""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _silhouettes(spark, sf_dir).groupBy("label").agg(F.round(F.avg("silhouette"), 5).alias("silhouette"))
+
+
+def _silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plane(spark, sf_dir)
     q = p.select(F.col("vec_id").alias("v2"), F.col("label").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     d = p.crossJoin(q).filter("vec_id <> v2").groupBy("vec_id", "label", "other").agg(F.avg(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("d"))
     s = d.groupBy("vec_id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))
     one = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.groupBy("label").agg(F.round(F.avg(one), 5).alias("silhouette"))
+    return s.select("label", one.alias("silhouette"))

@@ -48,8 +48,7 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn23_content_hash", "SELECT source, md5(string_agg(text, '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    own = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    return _docs(spark, d).groupBy("source").agg(F.md5(F.array_join(F.transform(own, lambda x: x["text"]), "").cast("binary")).alias("h"))
+    return T.digest_of_texts(_docs(spark, d), "source", "doc_id", "text", "h")
 
 
 @query("prj07_truncate", "SELECT doc_id, text[1:120] AS head, array_to_string(string_split_regex(text, '\\s+')[1:20], ' ') AS words FROM documents")
@@ -175,3 +174,10 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM h GROUP BY user_id, session
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("prj16_short_abstract", """WITH t AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS raw FROM documents),
+s AS (SELECT doc_id, raw, trim(array_to_string(regexp_extract_all(raw, '[^.!?]+[.!?]+')[1:3], ' ')) AS three FROM t)
+SELECT doc_id, CASE WHEN length(three) > 320 THEN three[1:317] || '…' WHEN three = '' AND raw <> '' THEN raw[1:317] || '…' ELSE three END AS short FROM s""")
+def short_abstract(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.short_abstract(F.col("text")).alias("short"))
