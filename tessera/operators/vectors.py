@@ -2,54 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, unit
 from tessera.session import ship
 
-#: Vectors in a block; a task multiplies two blocks at a time.
-BLOCK = 1024
-
-
-def blocks(vectors: DataFrame, key: str, column: str, size: int = BLOCK) -> DataFrame:
-    """block, ids and matrix (rows one after the other, unit length) of blocks of vectors.
-
-    Vectors are dealt to blocks by a hash of their key, so no row numbers are needed.
-    """
-    n = vectors.count()
-    count = max(1, -(-n // size))
-    rows = vectors.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("block"), F.struct(F.col(key).alias("id"), unit(F.col(column)).alias("v")).alias("x"))
-    return rows.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("block", F.transform("xs", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("xs", lambda x: x["v"])).alias("matrix"))
+#: Bytes of vectors in a group; a task holds two groups and multiplies them in tiles.
+GROUP_BYTES = 32 << 20
+#: Rows and columns of a tile.
+TILE, WIDE = 512, 4096
+#: What stands for a vector's pair with itself, below every cosine (and its negative is an integer too).
+NONE = -(2**62)
+
+
+def _best(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of ``others`` for each of ``ids``, by cosine of 6 decimals, then by id."""
+    order = np.argsort(others, kind="stable")
+    others, b = others[order], b[order]
+    for i in range(0, len(ids), TILE):
+        own, held = ids[i : i + TILE], None
+        for j in range(0, len(others), WIDE):
+            # cosine in millionths above, position below: one integer a pair, all different
+            key = np.rint(a[i : i + TILE] @ b[j : j + WIDE].T * 1e6).astype(np.int64) << np.int64(32)
+            key -= np.arange(j, j + key.shape[1], dtype=np.int64)[None, :]
+            key[own[:, None] == others[None, j : j + WIDE]] = NONE
+            key = key if held is None else np.concatenate((held, key), axis=1)
+            held = -np.partition(-key, k - 1, axis=1)[:, :k] if key.shape[1] > k else key
+        src = np.repeat(own, held.shape[1])
+        held = held.ravel()
+        real = held > NONE
+        src, held = src[real], held[real]
+        place = -held & np.int64(2**32 - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(others[place]), pa.array(((held + place) >> np.int64(32)) / 1e6)], ["src", "dst", "cosine"])
 
 
 def knn(vectors: DataFrame, key: str, column: str, k: int) -> DataFrame:
     """src, dst, cosine (6 decimals) and rank of the k nearest other vectors of each vector, exact.
+    Rows without a key or vector have no neighbours.
 
-    Each pair of blocks is one row for a task: a matrix product and the k best of each of
-    its vectors. What is shuffled afterwards is k rows for each vector and block.
+    Vectors are dealt to groups by a hash of their key; a task takes a pair of groups, in one order
+    only, and finds neighbours both ways. So a vector is shuffled once for each group, of which there are
+    as many as GROUP_BYTES asks for, and afterwards k rows for each vector and group.
     """
     ship(vectors.sparkSession)
-    own = blocks(vectors, key, column)
-    other = own.select(F.col("block").alias("block_2"), F.col("ids").alias("ids_2"), F.col("matrix").alias("matrix_2"))
-    pairs = own.crossJoin(other).repartition("block", "block_2")
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ids, m, ids_2, m_2 in zip(frame["ids"], frame["matrix"], frame["ids_2"], frame["matrix_2"], strict=True):
-                a, b = (np.asarray(x, dtype=float).reshape(len(i), -1) for i, x in ((ids, m), (ids_2, m_2)))
-                near = np.round(a @ b.T, 6)
-                near[np.asarray(ids)[:, None] == np.asarray(ids_2)[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids_2, near.shape), -near), axis=1)[:, :k]
-                cosine = np.take_along_axis(near, order, axis=1)
-                out = pd.DataFrame({"src": np.repeat(ids, order.shape[1]), "dst": np.asarray(ids_2)[order].ravel(), "cosine": cosine.ravel()})
-                yield out[np.isfinite(out["cosine"])]
-
-    best = pairs.mapInPandas(run, "src long, dst long, cosine double")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), unit(F.col(column)).alias("v")).dropna()
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).head()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n * size * 8 // GROUP_BYTES), min(-(-n // TILE), math.ceil(math.sqrt(2 * cores))))
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y")))
+    dealt = rows.withColumn("own", own).select("own", "id", "v", F.explode(pairs).alias("pair")).select("pair.x", "pair.y", "own", "id", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        group, ids = (table.column(c).to_numpy() for c in ("own", "id"))
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
+        a, b = group == x, group == y
+        sides = [(a, b)] if x == y else [(a, b), (b, a)]  # one of two groups may be empty
+        found = [batch for s, t in sides if s.any() and t.any() for batch in _best(ids[s], v[s], ids[t], v[t], k)]
+        return pa.Table.from_batches(found, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("cosine", pa.float64())]))
+
+    best = dealt.groupBy("x", "y").applyInArrow(run, "src long, dst long, cosine double")
     w = Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -71,3 +71,21 @@ def test_cosine_silhouette(spark):
         mean = {c: np.mean([d[i, j] for j in range(40) if labels[j] == c and j != i] or [np.nan]) for c in set(labels)}
         a, b = mean[labels[i]], min(x for c, x in mean.items() if c != labels[i])
         assert abs(got[i] - (0 if np.isnan(a) else (b - a) / max(a, b))) < 1e-9
+
+
+@pytest.mark.parametrize("group_bytes, wide", [(4096, 16), (1 << 20, 4096)])
+def test_cosine_knn(spark, monkeypatch, group_bytes, wide):
+    """One or several groups and tiles, ties among equal vectors, a zero vector and a row without one."""
+    monkeypatch.setattr(vectors, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(vectors, "WIDE", wide)
+    rng = np.random.default_rng(6)
+    v = [*rng.normal(0, 1, (120, 8)), *[np.ones(8)] * 9, np.zeros(8)]
+    df = spark.createDataFrame([(3 * i - 50, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "id long, v array<double>")
+    got = {}
+    for r in vectors.knn(df, "id", "v", 5).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, round(r.cosine, 6)))
+    u = np.array([x / (np.linalg.norm(x) or 1) for x in v])
+    near = np.round(u @ u.T, 6)
+    want = {3 * i - 50: [(3 * j - 50, near[i, j]) for j in sorted((j for j in range(130) if j != i), key=lambda j: (-near[i, j], j))[:5]] for i in range(130)}
+    assert got == want
+    assert vectors.knn(df.limit(0), "id", "v", 5).count() == 0
