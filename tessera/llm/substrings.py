@@ -41,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import packed, words, zipped
-from tessera.llm.common import bound_batches, staged
+from tessera.llm.common import bound_batches, looked_up, staged
 
 WINDOW, K = 13, 7
 REACH = WINDOW - K + 1
 #: Bytes of texts that a task holds to compare occurrences it settles.
 HELD_BYTES = 32 << 20
+#: Occurrences of a unitig that are compared in one part.
+PART = 2048
 
 
 def select_kmers(block: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,8 +283,13 @@ def verified(texts: DataFrame, paths: DataFrame) -> DataFrame:
     found = texts.join(own, "doc_id").select("doc_id", "zipped", "paths").mapInArrow(_words_at, _PATH + ", words binary")
     found = staged(found, "path-words")
     unitigs = found.filter("doc_id = rep_doc and first = rep_first").select("rep_doc", "rep_first", F.col("words").alias("rep_words")).distinct()
-    later = found.filter("doc_id > rep_doc").join(unitigs, ["rep_doc", "rep_first"]).filter("words = rep_words")
-    return later.select("doc_id", "first", "last")
+    later = found.filter("doc_id > rep_doc")
+    # occurrences of a unitig that very many documents hold are dealt to parts, each with its words
+    parts = later.groupBy("rep_doc", "rep_first").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).filter("parts > 1")
+    parts = staged(parts, "parts")
+    later = looked_up(later, parts, "rep_doc", "rep_first").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), F.coalesce("parts", F.lit(1))))
+    unitigs = unitigs.join(parts, ["rep_doc", "rep_first"], "left").select("rep_doc", "rep_first", "rep_words", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return later.join(unitigs, ["rep_doc", "rep_first", "part"]).filter("words = rep_words").select("doc_id", "first", "last")
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

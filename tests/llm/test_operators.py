@@ -404,8 +404,9 @@ def test_substrings_settled_in_a_task(spark, monkeypatch):
                 gone[p : p + 13] = [True] * 13
         want[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for held in (32 << 20, 1):
+    for held, part in ((32 << 20, 2048), (1, 2048), (1, 2)):
         monkeypatch.setattr(substrings, "HELD_BYTES", held)
+        monkeypatch.setattr(substrings, "PART", part)  # occurrences of a passage in several parts
         assert {r.doc_id: r.kept_text for r in substrings.substring_dedup(docs).collect()} == want
 
 
