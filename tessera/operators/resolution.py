@@ -123,3 +123,60 @@ def duplicate_pairs(works: DataFrame) -> DataFrame:
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """(id, component) of works tied by accepted pairs."""
     return components(pairs.filter("accepted").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def near_misses(edges: DataFrame, titles: DataFrame, references: DataFrame) -> DataFrame:
+    """citing, cited, similarity (3 decimals) and title of the unmatched reference of the citing work
+    whose title is most like the cited one's; 0 and an empty title where there is none.
+
+    Edges are (citing, cited), titles (id, title), references (citing, idx, title, status); of
+    equally similar references the first by idx.
+    """
+    ship(edges.sparkSession)
+    pool = references.filter("status = 'unmatched'").select("citing", "idx", F.col("title").alias("original"), X.match_title(X.clean_title(F.col("title"))).alias("t")).filter("t <> ''")
+    asked = edges.select("citing", "cited").distinct().join(titles.select(F.col("id").alias("cited"), X.match_title(F.col("title")).alias("q")), "cited", "left")
+    rated = asked.join(pool, "citing").withColumn("s", X.token_set_ratio(F.coalesce("q", F.lit("")), F.col("t"))).filter("s > 0")
+    best = rated.groupBy("citing", "cited").agg(F.max_by(F.struct("s", "original"), F.struct("s", -F.col("idx"))).alias("b"))
+    both = asked.join(best, ["citing", "cited"], "left")
+    return both.select("citing", "cited", F.coalesce(F.round("b.s", 3), F.lit(0.0)).alias("similarity"), F.substring(F.coalesce("b.original", F.lit("")), 1, 80).alias("title"))
+
+
+_HIT = ("id", "title", "year")
+
+
+def title_lookup(pubs: DataFrame, definite: DataFrame, search: DataFrame, years: int | None = YEARS, trusted: bool = True) -> DataFrame:
+    """pub, found, via, id, title, year, corrupt_title, rejected_year and near_miss of pubs (pub, title, year)
+    in one source's answers: ``definite`` by identifier, ``search`` by title (both: pub, place, id, title, year).
+
+    A definite answer is taken whatever its title, and flagged where that doesn't match
+    (``trusted``), or only if it does. Else the first search answer whose title matches and whose year is at most
+    ``years`` away (any year if None); where only the year speaks against it, it is the near miss.
+    A pub without a row in ``search`` wasn't checked: ``found`` is null, not false.
+    """
+    own = pubs.select("pub", F.col("title").alias("wanted"), F.col("year").alias("wanted_year"))
+    hit = F.struct(*_HIT)
+
+    def first(answers: DataFrame, name: str, when: Column) -> DataFrame:
+        rows = answers.join(own, "pub").withColumn("same", X.title_matches(F.col("wanted"), F.col("title"))).filter(when)
+        return rows.groupBy("pub").agg(F.min_by(F.struct(hit.alias("hit"), "same"), "place").alias(name))
+
+    near_year = F.lit(True) if years is None else F.coalesce(F.abs(F.col("year") - F.col("wanted_year")) <= years, F.lit(False))
+    sure = first(definite, "sure", F.lit(True) if trusted else F.col("same"))
+    good = first(search, "good", F.col("same") & near_year)
+    near = first(search, "near", F.col("same"))
+    asked = search.select("pub").distinct().withColumn("asked", F.lit(True))
+    rows = own
+    for part in (sure, good, near, asked):
+        rows = rows.join(part, "pub", "left")
+    taken = F.coalesce("sure.hit", "good.hit")
+    by_id, by_title = F.col("sure").isNotNull(), F.col("good").isNotNull()
+    missed = ~by_id & ~by_title & F.col("near").isNotNull()
+    return rows.select(
+        "pub",
+        F.when(by_id | by_title, F.lit(True)).when(F.col("asked"), F.lit(False)).alias("found"),
+        F.when(by_id, "identifier").when(by_title, "title").alias("via"),
+        *[taken[c].alias(c) for c in _HIT],
+        (by_id & ~F.coalesce("sure.same", F.lit(True))).alias("corrupt_title"),
+        missed.alias("rejected_year"),
+        F.when(missed, F.col("near.hit")).alias("near_miss"),
+    )

@@ -171,3 +171,35 @@ def subareas(spark: SparkSession, d: str) -> DataFrame:
     from tessera.operators.communities import kmeans
 
     return kmeans(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("g"), F.col("embedding").alias("v")), per=20)
+
+
+@query("gr06_betweenness")
+def betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: counting shortest paths from every node isn't feasible there; the test counts them on small graphs."""
+    return G.betweenness(_nodes(spark, d).select("id"), _edges(spark, d)).select("id", F.round("betweenness", 4).alias("betweenness"))
+
+
+@query("snk04_viewer", E + """, f AS (SELECT a.p_brand AS source, b.p_brand AS target, count(*) AS n FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.p_brand <> b.p_brand GROUP BY 1, 2)
+SELECT 'meta' AS section, '' AS key, to_json({'n_papers': (SELECT count(*) FROM n), 'n_edges': (SELECT count(*) FROM e)})::VARCHAR AS json
+UNION ALL SELECT 'clusters', p_brand, to_json({'id': p_brand, 'papers': count(*)})::VARCHAR FROM n GROUP BY p_brand
+UNION ALL SELECT 'flows', source || ' ' || target, to_json({'source': source, 'target': target, 'n': n})::VARCHAR FROM f
+UNION ALL SELECT 'papers', id::VARCHAR, to_json({'id': id, 'size': p_size, 'cluster_id': p_brand})::VARCHAR FROM n
+UNION ALL SELECT 'edges', src::VARCHAR, to_json(list(dst ORDER BY dst))::VARCHAR FROM e GROUP BY src""")
+def viewer(spark: SparkSession, d: str) -> DataFrame:
+    """The viewer's document as lines (section, key, json), so that no task holds all of it."""
+    nodes, e = _nodes(spark, d), G.cut(_edges(spark, d))
+    line = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), F.to_json(value).alias("json"))
+    brand = nodes.select("id", "p_brand")
+    flows = e.join(brand.select(F.col("id").alias("src"), F.col("p_brand").alias("source")), "src").join(brand.select(F.col("id").alias("dst"), F.col("p_brand").alias("target")), "dst").filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    totals = nodes.agg(F.count(F.lit(1)).alias("n_papers")).crossJoin(e.agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
+    parts = [
+        line(totals, "meta", F.lit(""), F.struct("n_papers", "n_edges")),
+        line(nodes.groupBy("p_brand").agg(F.count(F.lit(1)).alias("papers")), "clusters", F.col("p_brand"), F.struct(F.col("p_brand").alias("id"), "papers")),
+        line(flows, "flows", F.concat_ws(" ", "source", "target"), F.struct("source", "target", "n")),
+        line(nodes, "papers", F.col("id"), F.struct("id", F.col("p_size").alias("size"), F.col("p_brand").alias("cluster_id"))),
+        line(e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")), "edges", F.col("src"), F.col("to")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

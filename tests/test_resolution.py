@@ -55,3 +55,27 @@ def test_titles_without_a_common_token(spark):
     df = spark.createDataFrame(refs, "citing long, idx int, arxiv_ids array<string>, doi string, title string, year int")
     found = R.resolve_references(df, spark.createDataFrame(works[::2], SCHEMA)).collect()
     assert {r.idx: (r.status, r.work) for r in found} == {k: ("matched", 2 * k) for k in range(4)} | {4: ("unmatched", None)}
+
+
+def test_near_misses(spark):
+    edges = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "citing long, cited long")
+    titles = spark.createDataFrame([(10, "Deep residual learning"), (11, "Quantum foam")], "id long, title string")
+    refs = spark.createDataFrame([(1, 0, "Deep residual learning", "matched"), (1, 1, "Deep residual learnin", "unmatched"), (1, 2, "Deep residual learnin", "unmatched"), (1, 3, None, "unmatched")], "citing long, idx int, title string, status string")
+    got = {(r.citing, r.cited): (r.similarity, r.title) for r in R.near_misses(edges, titles, refs).collect()}
+    assert got[(1, 10)][0] > 0.95 and got[(1, 10)][1] == "Deep residual learnin"
+    assert got[(1, 11)][0] < 0.6
+    assert got[(2, 10)] == (0.0, "")
+
+
+def test_title_lookup(spark):
+    pubs = spark.createDataFrame([(1, "Toy models of superposition", 2022), (2, "Scaling monosemanticity", 2024), (3, "A real paper", 2020), (4, "Absent", 2020), (5, "Unchecked", 2020)], "pub long, title string, year int")
+    schema = "pub long, place int, id string, title string, year int"
+    definite = spark.createDataFrame([(1, 0, "W1", "Governance of neural things", 2022)], schema)
+    search = spark.createDataFrame([(1, 0, "W9", "Toy models of superposition", 2022), (2, 0, "W2", "Scaling Monosemanticity", 2027), (3, 0, "W3", "Something else entirely", 2020), (3, 1, "W4", "A real paper", 2021), (4, 0, "W5", "Other", 2020)], schema)
+    got = {r.pub: r for r in R.title_lookup(pubs, definite, search).collect()}
+    assert (got[1].found, got[1].via, got[1].id, got[1].corrupt_title) == (True, "identifier", "W1", True)
+    assert (got[2].found, got[2].rejected_year, got[2].near_miss.id) == (False, True, "W2")
+    assert (got[3].via, got[3].id, got[3].rejected_year, got[3].near_miss) == ("title", "W4", False, None)
+    assert got[4].found is False and got[5].found is None
+    second = {r.pub: r for r in R.title_lookup(pubs, definite, search, years=None, trusted=False).collect()}
+    assert second[1].id == "W9" and second[2].id == "W2"
