@@ -204,6 +204,24 @@ def test_minhash_estimate(spark):
         assert abs(got - shared / (2000 - shared)) < 0.1
 
 
+def test_recall_of_bands_and_estimate():
+    """Pairs at the threshold itself, over sets of several sizes: how many share a bucket and pass the estimate."""
+    rng = np.random.default_rng(9)
+    found = pairs = 0
+    for size in (9, 18, 90, 900):
+        for _ in range(250):
+            both = rng.integers(0, 2**63, size + size // 9).astype(np.uint64)  # 8/9 of each are shared: similarity 0.8
+            a, b = both[:size], both[size // 9 :]
+            keys, packed = near_dedup.sketch(near_dedup.minima(np.concatenate((a, b)), np.array([0, size])))
+            low = (packed[0] ^ packed[1]).view(np.uint64)
+            equal = sum(near_dedup.MINIMA // packed.shape[1] - len({i // near_dedup.BITS for i in range(64) if int(x) >> i & 1}) for x in low)
+            chance = 2.0**-near_dedup.BITS
+            likely = (equal / near_dedup.MINIMA - chance) / (1 - chance) >= near_dedup.least_estimate()
+            found += likely and (keys[0] == keys[1]).any()
+            pairs += 1
+    assert found == pairs == 1000
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(i, i + 2) for i in range(100, 130)] + [(7, 7)]
     got = {r.doc_id: r.component for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
