@@ -43,9 +43,9 @@ def ngram_labels(rows: DataFrame, k: int) -> DataFrame:
 def quoted(quotes: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """(item_id, doc_id) where a document holds the quote, white space and case apart.
 
-    Candidates share the quote's first n words: an equi-join instead of every quote against
-    every text. A quote of fewer words is looked for by all of them; what a word boundary
-    hides (a quote that begins or ends inside a word) is found by leaving the first and last word out.
+    Candidates share n words of the quote, without its first and last one, which a word boundary may
+    hide (a quote that begins or ends inside a word); or all that are left of a shorter quote. So
+    these are equi-joins. Only quotes of one or two words, which have no inner word, meet every text.
     """
     def grams(words: Column, k: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
@@ -53,12 +53,15 @@ def quoted(quotes: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     q = quotes.select("item_id", X.collapse(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
     q = q.withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
     t = docs.select("doc_id", X.collapse(F.col("text")).alias("t"))
-    long = q.filter(F.size("inner") >= n).select("item_id", "q", F.array_join(F.slice("inner", 1, n), " ").alias("gram"))
-    keys = t.select("doc_id", F.explode(F.array_distinct(grams(F.split("t", " "), n))).alias("gram"))
-    hits = keys.join(long, "gram").select("doc_id", "item_id", "q").join(t, "doc_id").filter(F.contains("t", F.col("q")))
-    short = q.filter(F.size("inner") < n).select("item_id", "q")
-    rest = t.join(short, F.contains(F.col("t"), F.col("q")))
-    return hits.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id")).distinct()
+    q = q.withColumn("k", F.least(F.size("inner"), F.lit(n)))
+    found = q.filter("k = 0").join(t, F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    for k in sorted(r["k"] for r in q.select("k").distinct().collect()):  # n + 1 sizes at most
+        if k:
+            own = q.filter(F.col("k") == k).select("item_id", "q", F.array_join(F.slice("inner", 1, k), " ").alias("gram"))
+            split = t.select("doc_id", F.split("t", " ").alias("w"))  # once a text, not once a gram
+            keys = split.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), k))).alias("gram"))
+            found = found.unionByName(keys.join(own, "gram").select("doc_id", "item_id", "q").join(t, "doc_id").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 def bibtex_entry(key: Column, fields: dict[str, Column]) -> Column:

@@ -89,3 +89,11 @@ def test_cosine_knn(spark, monkeypatch, group_bytes, wide):
     want = {3 * i - 50: [(3 * j - 50, near[i, j]) for j in sorted((j for j in range(130) if j != i), key=lambda j: (-near[i, j], j))[:5]] for i in range(130)}
     assert got == want
     assert vectors.knn(df.limit(0), "id", "v", 5).count() == 0
+
+
+def test_quotes(spark):
+    texts = ["The quick  brown fox jumps over the lazy dog again", "quick brown\nfox", "overjumping foxes", "", None, "a b c d e f g h i"]
+    quotes = ["quick brown fox", "ick brown fo", "fox", "x jumps over t", "ox jumps over the lazy dog ag", "b c d e f g", "A B", "nowhere to be found", "jumps over the lazy dog again and more", "the quick brown fox jumps over the lazy dog again"]
+    squeeze = lambda s: " ".join((s or "").lower().split())
+    got = {(r.item_id, r.doc_id) for r in terms.quoted(spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if squeeze(q) in squeeze(t)}
