@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.graphs import components
+from tessera.operators.graphs import components, cut
 from tessera.session import ship
 
 #: Least set and sort ratio of a title match, and years apart.
@@ -180,3 +180,32 @@ def title_lookup(pubs: DataFrame, definite: DataFrame, search: DataFrame, years:
         missed.alias("rejected_year"),
         F.when(missed, F.col("near.hit")).alias("near_miss"),
     )
+
+
+#: Characters of the pieces that texts are met by.
+PIECE = 4
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct stretches of ``size`` characters."""
+    n = F.char_length(text) - size + 1
+    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+
+
+def containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text, part): all pairs of distinct texts (text) and parts (part) that they contain, as contains() has it.
+
+    A part meets the texts that have the rarest of its pieces, one shorter than a piece those that have it as a whole.
+    """
+    texts, parts = cut(texts.select("text").filter("text is not null").distinct()), cut(parts.select("part").filter("part is not null").distinct())
+    pieces = texts.select("text", F.explode(_pieces(F.col("text"), PIECE)).alias("piece"))
+    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = parts.filter(F.char_length("part") >= PIECE).select("part", F.explode(_pieces(F.col("part"), PIECE)).alias("piece"))
+    # a piece that no text has rules its part out
+    rarest = asked.join(often, "piece", "left").groupBy("part").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
+    found = pieces.join(rarest, "piece").filter(F.contains("text", "part")).select("text", "part")
+    short = parts.withColumn("size", F.char_length("part")).filter(F.col("size") < PIECE)
+    for size in range(PIECE):
+        whole = texts.select("text", F.explode(_pieces(F.col("text"), size) if size else F.array(F.lit(""))).alias("part"))
+        found = found.unionByName(whole.join(short.filter(F.col("size") == size).select("part"), "part").select("text", "part"))
+    return found

@@ -79,3 +79,23 @@ def test_title_lookup(spark):
     assert got[4].found is False and got[5].found is None
     second = {r.pub: r for r in R.title_lookup(pubs, definite, search, years=None, trusted=False).collect()}
     assert second[1].id == "W9" and second[2].id == "W2"
+
+
+def test_containing(spark):
+    """Every pair that contains() finds, by pieces only: no join without an equal key."""
+    words = ["", "a", "ab", "abc", "abcd", "bcde", "abcdeabcd", "xxabcdyy", "ÄÖab", "öab", "ab\U0001f600cd", "\U0001f600cd", "zzzz", "zz", None]
+    texts = spark.createDataFrame([(w,) for w in words + ["abcd"]], "text string")
+    parts = spark.createDataFrame([(w,) for w in words + ["absent", "abcdZ"]], "part string")
+    found = R.containing(texts, parts)
+    known = [w for w in words if w is not None]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((t, p) for t in known for p in known if p in t)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_landmarks_without_comparing_all(spark):
+    from tessera.plans import records  # noqa: F401
+    from tessera.plans.registry import queries
+
+    plan = queries()["jn09_landmarks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
