@@ -8,7 +8,8 @@ ranks (checked when the vocabulary is read), so ascending ranks over the whole b
 each pretoken what a loop over that pretoken alone gives.
 
 Special tokens of the vocabulary file are cut out of a text first, as the tokenizers
-library does by default; the rest is split into pretokens by the file's byte-level pattern.
+library does by default; the rest is split into pretokens by the file's byte-level pattern,
+which is applied to the kinds of all characters of a step at once (``_begins``).
 Decoding joins the bytes of the tokens and replaces what isn't UTF-8.
 
 Memory is bounded by bytes, not by rows. Texts are worked off in steps of STEP characters; a
@@ -29,10 +30,7 @@ import codecs
 import hashlib
 import heapq
 import json
-import re
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +44,16 @@ from tessera.llm.common import bound_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text is cut into pieces of so many characters.
 PIECE = 1 << 20
-#: New pretokens of as many pieces are encoded together as have STEP characters, or FRESH new units.
-STEP, FRESH = 8 << 20, 150_000
+#: As many pieces are worked off together as have STEP characters; new pretokens of theirs are encoded CHUNK bytes at a time.
+STEP, CHUNK = 2 << 20, 1 << 20
+#: So many distinct pretokens are looked up together, and so many pairs.
+WORDS, SLICE = 100_000, 1 << 17
 #: Bytes, as far as they can be told, that a worker keeps of pretokens it has seen.
 CACHE = 96 << 20
-#: What an entry of some characters costs: three strings, a pair and its place in the table.
-_ENTRY = 400
+#: What an entry costs besides its bytes and ids: two objects and a place in the table.
+_ENTRY = 180
+#: Kinds of characters in the pattern; END stands for the end of a text.
+OTHER, LETTER, NUMBER, BLANK, END = range(5)
 
 
 def default_vocabulary() -> str:
@@ -67,8 +69,14 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-#: A space beside white space, or white space at an end: words can't be told by spaces alone.
-_APART = re.compile(r" \s|\s |\A\s|\s\Z")
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    kind = np.zeros(0x110000, dtype=np.uint8)
+    everything = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    for k, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for run in regex.finditer(pattern, everything):
+            kind[run.start() : run.end()] = k
+    return kind
 
 
 class Vocabulary:
@@ -87,7 +95,9 @@ class Vocabulary:
         for c, b in characters.items():
             self.of_byte[b] = ids[c]
         self.size = max(self.bytes) + 1
-        self.pairs = [(str(i), self.bytes.get(i, b"")) for i in range(self.size)]  # an id as decimal text, and its bytes
+        self.decimal = pa.array([b",%d" % i for i in range(self.size)], pa.large_binary())
+        self.own_bytes = pa.array([self.bytes.get(i, b"") for i in range(self.size)], pa.large_binary())
+        self.kinds = kinds()
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         left, right = (np.array([ids[m[k]] for m in merges], dtype=np.int64) for k in (0, 1))
         self.left, self.right, self.merged = left, right, np.array([ids[a + b] for a, b in merges], dtype=np.int64)
@@ -96,18 +106,19 @@ class Vocabulary:
         if not (np.maximum(made[left], made[right]) < np.arange(len(merges))).all():
             raise ValueError("a merge uses a token that only a later merge makes")
         order = np.argsort(left * self.size + right, kind="stable")
-        self.keys, self.ranks = (left * self.size + right)[order], order
-        self.pattern = regex.compile(PATTERN)
+        self.keys, self.ranks = (left * self.size + right)[order], order.astype(np.int32)
         self.cut_at = None if any(x.isspace() for t in self.special for x in t) else regex.compile(r"(?<=\S)\s")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
+        if len(left) > SLICE:
+            return np.concatenate([self.rank(left[i : i + SLICE], right[i : i + SLICE]) for i in range(0, len(left), SLICE)])
         key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
 
     def encode_words(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pretokens in a row, and where each one's begin (and the end)."""
+        """Ids (int32) of all pretokens in a row, and where each one's begin (and the end)."""
         n = np.array([len(w) for w in pretokens], dtype=np.int64)
         ends = np.cumsum(n)
         symbol = self.of_byte[np.frombuffer(b"".join(pretokens), dtype=np.uint8)]
@@ -177,22 +188,29 @@ class Vocabulary:
         starts = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]
         return symbol[alive], starts
 
-    def pretokens(self, text: str) -> list[str]:
-        """Pretokens of a text; special tokens are pieces of their own."""
+    def parts(self, text: str) -> list[str]:
+        """The text, or its parts, between which a pretoken can't reach; special tokens are parts of their own."""
         if self.split is None or not any(s in text for s in self.special):
-            return self.pattern.findall(text)
-        out: list[str] = []
-        for piece in self.split.split(text):
-            out += [piece] if piece in self.special else self.pattern.findall(piece)
-        return out
-
-    def units(self, text: str) -> list[str] | None:
-        """The text cut before each space. A pretoken begins at every space that stands between
-        two non-spaces, so pretokens can be taken of each unit alone; None where they can't."""
-        if not text or _APART.search(text) or (self.split is not None and any(s in text for s in self.special)):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [text] if text else []
+        return [x for x in self.split.split(text) if x]
+
+    def pretokens(self, parts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """Where the pretokens of these parts begin in their joined text, and their UTF-8."""
+        text = "".join(parts)
+        data = text.encode("utf-8", "replace")
+        point = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+        begins = _begins(point, self.kinds[point], ends)
+        for x, end in zip(parts, ends.tolist(), strict=True):
+            if x in self.special:
+                begins[end - len(x) + 1 : end] = False
+        at = np.flatnonzero(begins)
+        if len(data) == len(point):
+            offsets = np.append(at, len(data))
+        else:
+            width = (point > 0x7F).view(np.uint8) + (point > 0x7FF) + (point > 0xFFFF)
+            offsets = np.append(at + np.cumsum(width, dtype=np.int64)[at] - width[at], len(data))
+        return at, _binary(offsets, pa.py_buffer(data))
 
     def pieces(self, text: str, most: int = PIECE) -> Iterator[str]:
         """The text in pieces of ``most`` characters where it can be cut so; a piece without a
@@ -210,8 +228,44 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _begins(point: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a pretoken of PATTERN begins at each character of parts that end at ``ends``, none of them empty."""
+    if not len(point):
+        return np.zeros(0, dtype=bool)
+    before, behind = np.empty_like(kind), np.empty_like(kind)
+    before[1:], behind[:-1] = kind[:-1], kind[1:]
+    before[0] = before[ends[:-1]] = behind[ends - 1] = END
+    begins = before != kind
+    # a space belongs to what comes after it, and white space before that is a pretoken without its last character
+    spaced = np.zeros_like(begins)
+    spaced[1:] = point[:-1] == ord(" ")
+    spaced[ends[:-1]] = False
+    blank = kind == BLANK
+    begins &= blank | ~spaced
+    begins |= blank & (behind < BLANK)
+    # 's, 't, 'm, 'd, 're, 've, 'll end after their letters, whatever comes then
+    at = np.flatnonzero((point == ord("'")) & begins & (behind == LETTER))
+    first, second = point[at + 1], point[np.minimum(at + 2, len(point) - 1)]
+    two = (behind[at + 1] == LETTER) & (((second == ord("e")) & ((first == ord("r")) | (first == ord("v")))) | ((second == ord("l")) & (first == ord("l"))))
+    one = np.isin(first, [ord(c) for c in "stmd"])
+    begins[at[one | two] + 1] = False
+    end = np.concatenate((at[one] + 2, at[two] + 3))
+    begins[end[end < len(point)]] = True
+    return begins
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """An array of ``large_binary`` over these buffers."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64, copy=False)), data])
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    """Offsets of an array of ``large_binary`` that begins with its buffers."""
+    return np.frombuffer(array.buffers()[1], dtype=np.int64)[: len(array) + 1]
+
+
 class Encoder:
-    """Encodes pieces of texts; keeps ids (as decimal text) and bytes of the units and pretokens it has seen."""
+    """Encodes pieces of texts; keeps the ids (as the bytes of an int32 array) of the pretokens it has seen."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -219,41 +273,52 @@ class Encoder:
 
     def clear(self) -> None:
         """Start a generation; what the last one used is at hand still, what it didn't use is dropped."""
-        own = self.vocabulary
         self.before = getattr(self, "known", {})
-        self.known = {s: own.pairs[i] for s, i in own.special.items()}
+        self.known = {s.encode(): np.int32(i).tobytes() for s, i in self.vocabulary.special.items()}
         self.held = 0
 
-    def split(self, text: str) -> list[str]:
-        """Units or pretokens of a piece."""
-        units = self.vocabulary.units(text)
-        return self.vocabulary.pretokens(text) if units is None else units
-
-    def learn(self, new: set[str]) -> None:
-        """Enter ids and bytes of these units."""
-        own, known = self.vocabulary, self.known
-        again = new.intersection(self.before)
-        known.update((w, self.before[w]) for w in again)
-        new = new.difference(known)
-        parts = {w: own.pattern.findall(w) for w in new if not (w.isalpha() or (w[0] == " " and w[1:].isalpha()))}
-        pretokens = list(new.difference(parts))
-        pretokens += {p for x in parts.values() for p in x}.difference(known, pretokens)
-        if pretokens:
-            ids, starts = own.encode_words([p.encode("utf-8", "replace") for p in pretokens])
-            ids, starts = [own.pairs[i] for i in ids.tolist()], starts.tolist()
-            for p, i, j in zip(pretokens, starts, starts[1:], strict=False):
-                known[p] = ids[i] if j - i == 1 else _concatenated(ids[i:j])
-            self.held += 8 * len(ids)
-        for w, x in parts.items():
-            if len(x) > 1:
-                known[w] = _concatenated([known[p] for p in x])
-                self.held += 8 * len(w)
-        self.held += _ENTRY * (len(again) + len(pretokens) + len(parts))
-
-
-def _concatenated(pairs: list[tuple[str, bytes]]) -> tuple[str, bytes]:
-    ids, tokens = zip(*pairs, strict=True)
-    return ",".join(ids), b"".join(tokens)
+    def keep(self, word: bytes, ids: bytes) -> bytes:
+        """Enter the ids of a pretoken."""
+        self.held += _ENTRY + len(word) + len(ids)
+        if 2 * self.held > CACHE:
+            self.clear()
+        self.known[word] = ids
+        return ids
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pretokens in a row, and where each one's begin (and the end). They are learnt where they are new."""
+        parts, sizes = [b""], [np.zeros(1, dtype=np.int64)]
+        for at in range(0, len(words), WORDS):
+            found = self.find(words.slice(at, WORDS).to_pylist())
+            parts.append(b"".join(found))
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2)
+        return np.frombuffer(b"".join(parts), dtype=np.int32), np.cumsum(np.concatenate(sizes))
+
+    def find(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of these pretokens."""
+        found = list(map(self.known.get, words))
+        new, size = [], 0
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            if (ids := self.before.get(w)) is not None:
+                found[i] = self.keep(w, ids)
+                continue
+            new.append(i)
+            size += len(w)
+            if size > CHUNK:
+                self.learn(words, new, found)
+                new, size = [], 0
+        self.learn(words, new, found)
+        return found
+
+    def learn(self, words: list[bytes], new: list[int], found: list[bytes | None]) -> None:
+        """Enter the ids of ``words`` at these places in ``found``."""
+        if not new:
+            return
+        ids, starts = self.vocabulary.encode_words([words[i] for i in new])
+        data, cuts = ids.tobytes(), (4 * starts).tolist()
+        for i, a, b in zip(new, cuts, cuts[1:], strict=False):
+            found[i] = self.keep(words[i], data[a:b])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -265,24 +330,51 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _steps(column: pa.Array, own: Encoder) -> Iterator[tuple[int, list[str]]]:
-    """(row, units) in order, with ids and bytes of the units in ``own.known``; a row has several
-    where its text is cut, and one at least."""
-    held, size, new = [], 0, set()
+class _Step:
+    """Some pieces of texts with their pretokens: ``rows`` the row of each piece, ``cuts`` where its pretokens begin
+    (and the end), ``which`` the place of each pretoken among the distinct ones, ``ids`` and ``starts`` theirs."""
+
+    def __init__(self, own: Encoder, held: list[tuple[int, str]]):
+        self.rows = [row for row, _ in held]
+        at, pretokens = own.vocabulary.pretokens([part for _, piece in held for part in own.vocabulary.parts(piece)])
+        self.cuts = np.append(np.searchsorted(at, np.cumsum([0, *[len(piece) for _, piece in held]])[:-1]), len(at))
+        distinct = pretokens.dictionary_encode()
+        del pretokens
+        self.which = distinct.indices.to_numpy()
+        self.ids, self.starts = own.ids(distinct.dictionary)
+
+    def counts(self) -> np.ndarray:
+        """Number of ids before each piece (and the end)."""
+        return np.concatenate(([0], np.cumsum(np.diff(self.starts)[self.which])))[self.cuts]
+
+    def joined(self, tokens: pa.Array) -> tuple[memoryview, list[int]]:
+        """What ``tokens`` has for all ids in a row, and where each piece's begins (and the end)."""
+        if not len(self.which):
+            return memoryview(b""), [0] * len(self.cuts)
+        own = tokens.take(pa.array(self.ids))
+        words = _binary(_offsets(own)[self.starts], own.buffers()[2] or pa.py_buffer(b""))
+        out = words.take(pa.array(self.which))
+        return memoryview(out.buffers()[2] or b""), _offsets(out)[self.cuts].tolist()
+
+
+def _coded(column: pa.Array, own: Encoder) -> Iterator[_Step]:
+    """Steps over all texts in order; a row has several pieces where its text is cut, and one at least."""
+    held, size = [], 0
     for row, text in enumerate(column):
         for piece in own.vocabulary.pieces(text.as_py() or ""):
-            if size + len(piece) > STEP or len(new) > FRESH:
-                own.learn(new)
-                yield from held
-                held, size, new = [], 0, set()
-            if not held and 2 * own.held > CACHE:
-                own.clear()
-            units = own.split(piece)
-            held.append((row, units))
-            new |= set(units).difference(own.known)
+            if held and size + len(piece) > STEP:
+                yield _Step(own, held)
+                held, size = [], 0
+            held.append((row, piece))
             size += len(piece)
-    own.learn(new)
-    yield from held
+    if held:
+        yield _Step(own, held)
+
+
+def _steps(column: pa.Array, own: Encoder) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, places of the pretokens among the distinct ones of the step) of each piece."""
+    for step in _coded(column, own):
+        yield from zip(step.rows, np.split(step.which, step.cuts[1:-1]), strict=True)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -292,12 +384,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            flat, ends = array("i"), np.zeros(len(batch) + 1, dtype=np.int32)
-            for row, units in _steps(batch.column("text"), own):
-                for w in units:
-                    flat.extend(map(int, own.known[w][0].split(",")))
-                ends[row + 1] = len(flat)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, dtype=np.int32)))
+            flat, n = [np.zeros(0, dtype=np.int32)], np.zeros(len(batch), dtype=np.int32)
+            for step in _coded(batch.column("text"), own):
+                np.add.at(n, step.rows, np.diff(step.counts()).astype(np.int32))
+                each = np.diff(step.starts)[step.which]
+                first = step.starts[step.which] - (np.cumsum(each) - each)
+                flat.append(step.ids[np.repeat(first, each) + np.arange(each.sum())])
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     bound_batches(docs.sparkSession)
@@ -327,11 +421,11 @@ class _Digest:
         self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
         self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def add(self, own: Encoder, units: list[str]) -> None:
-        if units:
-            ids, own_bytes = _concatenated([own.known[w] for w in units])
-            self.ids.update(("," + ids if self.n else ids).encode())
-            self.n += ids.count(",") + 1
+    def add(self, n: int, ids: memoryview, own_bytes: memoryview) -> None:
+        """``n`` ids as decimal text, each after a comma, and their bytes."""
+        if n:
+            self.ids.update(ids if self.n else ids[1:])
+            self.n += n
             self.text.update(self.decoder.decode(own_bytes).encode())
 
     def close(self) -> tuple[int, str, str]:
@@ -347,11 +441,17 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            found = []
-            for _, pieces in groupby(_steps(batch.column("text"), own), key=lambda x: x[0]):
-                digest = _Digest()
-                for _, units in pieces:
-                    digest.add(own, units)
+            found, last, digest = [], 0, _Digest()
+            for step in _coded(batch.column("text"), own):
+                counts = np.diff(step.counts()).tolist()
+                ids, cuts = step.joined(own.vocabulary.decimal)
+                text, ends = step.joined(own.vocabulary.own_bytes)
+                for k, row in enumerate(step.rows):
+                    if row != last:
+                        found.append(digest.close())
+                        last, digest = row, _Digest()
+                    digest.add(counts[k], ids[cuts[k] : cuts[k + 1]], text[ends[k] : ends[k + 1]])
+            if len(batch):
                 found.append(digest.close())
             n, ids_sha, text_sha = zip(*found, strict=True) if found else ((), (), ())
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

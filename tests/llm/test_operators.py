@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import subprocess
 import sys
@@ -445,6 +446,42 @@ def test_bpe(spark, docs, rows, nothing):
     assert bpe.round_trip(nothing).count() == 0
 
 
+def test_bpe_pretokens(monkeypatch):
+    """Short mixtures of kinds of characters get the library's ids, at once, cut into pieces, and in small steps and chunks."""
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    r = random.Random(3)
+    alphabet = [*" \n\t\r\x1c\x85\u00a0\u3000'''''stmdrevlLS1²٣é中#.\u0301\u200d👩", "  ", " '", "'s", "'re", "'ll", "<|endoftext|>"]
+    texts = ["", None, *["".join(r.choices(alphabet, k=r.randint(0, 16))) for _ in range(6_000)], "".join(r.choices(alphabet, k=40_000))]
+    want = [x.ids for x in reference.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    own = bpe.Encoder(bpe.Vocabulary(bpe.default_vocabulary()))
+    decimal = lambda ids: "".join(f",{i}" for i in ids).encode()
+    for step, piece, chunk, cache in ((bpe.STEP, bpe.PIECE, bpe.CHUNK, bpe.CACHE), (500, 100, 7, 20_000), (1, 1, 1, 1)):
+        for name, value in (("STEP", step), ("CHUNK", chunk), ("CACHE", cache)):
+            monkeypatch.setattr(bpe, name, value)
+        monkeypatch.setattr(own.vocabulary, "pieces", lambda text, piece=piece: bpe.Vocabulary.pieces(own.vocabulary, text, piece))
+        got, decoded = [b""] * len(texts), [b""] * len(texts)
+        for x in bpe._coded(pa.array(texts), own):
+            ids, cuts = x.joined(own.vocabulary.decimal)
+            own_bytes, ends = x.joined(own.vocabulary.own_bytes)
+            for k, row in enumerate(x.rows):
+                got[row] += ids[cuts[k] : cuts[k + 1]]
+                decoded[row] += own_bytes[ends[k] : ends[k + 1]]
+        assert got == [decimal(x) for x in want]
+        assert decoded == [(t or "").encode() for t in texts]
+
+
+def test_bpe_work():
+    """Pretokens are learnt once, not once for each way in which they stand beside each other."""
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefgh", k=8)) for _ in range(300)]
+    text = " ".join(f"{r.choice(words)}.\n{r.choice(words)}" for _ in range(50_000))
+    own = bpe.Encoder(bpe.Vocabulary(bpe.default_vocabulary()))
+    assert [row for row, _ in bpe._steps(pa.array([text]), own)] == [0] * len(list(own.vocabulary.pieces(text)))
+    assert len(own.known) <= 2 * len(words) + 2 + len(own.vocabulary.special)
+
+
 def test_quality_statistics(docs, rows):
     got = {r.doc_id: r for r in quality.statistics(docs).collect()}
     for i, t, *_ in rows:
